@@ -1,0 +1 @@
+"""operators of the record engine, all DataFrame in, DataFrame out."""

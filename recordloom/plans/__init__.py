@@ -1,0 +1 @@
+"""plans of the record engine, all DataFrame in, DataFrame out."""

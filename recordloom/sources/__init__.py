@@ -1,0 +1 @@
+"""sources of the record engine, all DataFrame in, DataFrame out."""

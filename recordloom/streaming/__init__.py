@@ -1,0 +1 @@
+"""streaming of the record engine, all DataFrame in, DataFrame out."""
