@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import neardup
+from recordloom.llm import neardup, packing
 from recordloom.llm.common import table
 
 
@@ -14,8 +14,19 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file, which is installed beside the engine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_simhash_near_dedup]
+    found = [op4_simhash_near_dedup, op8_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
