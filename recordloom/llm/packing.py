@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,44 +35,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import LOWER
 from recordloom.storage import save
 
 CAPACITY = 2048
 END_ID = 0
 #: Equal-cardinality groups of the large lengths.
 GROUPS = 64
-#: Words whose ids a worker remembers before it forgets them all.
-REMEMBERED = 300_000
+#: Words whose ids a worker keeps.
+WORDS_KEPT = 1_000_000
 #: Pieces of one length that a bucket holds, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 # ---------------------------------------------------------------- tokens
 
-def _word_ids(path: str):
-    """A function from a list of texts to their ids as little-endian 32-bit words.
+#: A stop or comma that ends a word and isn't next to the letter or digit before it.
+_RUN = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
+#: First bytes of marks that join with a letter before them; what begins a special token's name.
+_JOINS = (b"\xcc", b"\xcd", b"<|")
 
-    The tokenizer drops white space, so the ids of a text are those of its words (cut at
-    spaces and line feeds only) one after another; they are found once for each word.
+
+class WordIds:
+    """Ids of texts, as little-endian 32-bit words, found once for each word.
+
+    The tokenizer lowers case and drops white space, and a run of letters, a digit and a run of
+    other signs are tokens of their own.  So the ids of a text are those of its words one after
+    another, ASCII letters may be lowered first, and a stop or comma may be parted from a
+    letter or digit before it.  Texts for which that isn't certain (signs in a row, joining
+    marks, names of special tokens) are only cut at spaces and line feeds.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    #: Stands between words that are encoded in one call; a word that holds it is encoded alone.
+    BREAK = "\x01"
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        between = self._ids(self.BREAK)
+        self.between = between[0] if len(between) == 1 else None
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut = self.BREAK.encode()
+        alone = [w for w in words if self.between is None or cut in w or b"<|" in w]
+        for w in alone:
+            self.words[w] = np.array(self._ids(w.decode()), "<u4").tobytes()
+        rest = [w for w in words if w not in self.words] if alone else words
+        for k in range(0, len(rest), 5000):
+            part = rest[k : k + 5000]
+            joined = (b" %b " % cut).join(part).decode()
+            found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            at, raw = 4 * np.flatnonzero(found == self.between), found.tobytes()
+            for w, lo, hi in zip(part, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
+                self.words[w] = raw[lo:hi]
+
+    @staticmethod
+    def cut(text: str) -> list[bytes]:
+        """Pieces of a text whose ids follow one another."""
+        raw = text.encode()
+        if any(x in raw for x in _JOINS):
+            return raw.replace(b"\n", b" ").split(b" ")
+        if not _RUN.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
+        return text.encode().translate(LOWER).split()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > WORDS_KEPT // 2:
+            self.older, self.words = self.words, {}
+        cut = list(map(self.cut, texts))
+        words, older, missing = self.words, self.older, []
+        for w in {w for line in cut for w in line if w not in words}:
+            if (known := older.get(w)) is not None:
+                words[w] = known
+            else:
+                missing.append(w)
+        self._learn(missing)
+        return [b"".join(map(words.__getitem__, line)) for line in cut]
+
+
+_ENCODERS: dict[str, WordIds] = {}
 
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
-    return encode
+def _encoder(path: str) -> WordIds:
+    """The encoder of this worker process: what it learned serves its later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
 
 
 def token_pieces(
@@ -81,9 +137,8 @@ def token_pieces(
     than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
         for batch in batches:
-            encode = encode or _word_ids(tokenizer_path)
+            encode = _encoder(tokenizer_path)
             ids, rows = batch.column(0), []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at, weight, cuts = 0, 0, [0]
@@ -281,15 +336,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_sequences(counts, capacity) if counts else []
-    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    spread = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, _buckets long")
+    # One row for each length there is: at most ``capacity`` rows.
+    dealt = pieces.join(F.broadcast(spread), "length").withColumn(
+        "_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_buckets"))
+    )
     held = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         dealt.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts) if buckets * capacity <= 200_000 else starts, ["length", "_bucket"])
+        .join(starts, ["length", "_bucket"])
         .withColumn("_rank", F.col("_rank") + F.col("_start"))
     )
     schema = "_length long, _lo long, _hi long, _seq long, _offset long"
