@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,3 +28,19 @@ def remainder(doc_id: Column, n: int) -> Column:
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def once(value: Column) -> Column:
+    """The value, worked out where it is named: neither a filter nor a later projection that
+    uses it several times (or for each element of an array) repeats it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def without(text: Column, characters: str, instead: str = "") -> Column:
+    """``text`` with each of the characters replaced, without a regular expression."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(instead)), characters, text)
+
+
+def spaced_words(text: Column) -> Column:
+    """Runs of anything but ASCII white space, as an array."""
+    return F.array_remove(F.split(without(text, "\t\n\x0b\x0c\r", " "), " "), "")

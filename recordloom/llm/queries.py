@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import decontam, licenses, lm, neardup, packing, toxicity
+from recordloom.llm import decontam, licenses, lm, neardup, packing, quality, toxicity
 from recordloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scans, op2_toxicity, op4_simhash_near_dedup, op5_lm_scoring, op6_benchmark_decontamination, op8_best_fit_packing]
+    found = [op1_license_scans, op2_toxicity, op3_quality_rules, op4_simhash_near_dedup, op5_lm_scoring, op6_benchmark_decontamination, op8_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
