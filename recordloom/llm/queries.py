@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordloom.llm import decontam, licenses, lm, neardup, packing, quality, toxicity
+from recordloom.llm import decontam, licenses, linededup, lm, neardup, packing, quality, toxicity
 from recordloom.llm.common import table
 
 
@@ -34,6 +35,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", F.col("_n_gone").alias("n_removed_lines"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file, which is installed beside the engine."""
     import public_tokenizers
@@ -46,7 +52,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scans, op2_toxicity, op3_quality_rules, op4_simhash_near_dedup, op5_lm_scoring, op6_benchmark_decontamination, op8_best_fit_packing]
+    found = [op1_license_scans, op2_toxicity, op3_quality_rules, op4_simhash_near_dedup, op5_lm_scoring, op6_benchmark_decontamination, op8_best_fit_packing, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
