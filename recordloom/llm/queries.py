@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontam, licenses, linededup, lm, neardup, packing, quality, toxicity
+from recordloom.llm import decontam, licenses, linededup, lm, neardup, packing, quality, toxicity, urls
 from recordloom.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "text", F.col("_n_gone").alias("n_removed_lines"))
@@ -52,7 +56,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scans, op2_toxicity, op3_quality_rules, op4_simhash_near_dedup, op5_lm_scoring, op6_benchmark_decontamination, op8_best_fit_packing, op10_line_dedup]
+    found = [op1_license_scans, op2_toxicity, op3_quality_rules, op4_simhash_near_dedup, op5_lm_scoring, op6_benchmark_decontamination, op8_best_fit_packing, op9_url_filters, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
