@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import once
+
 # Notices as their licences state them, with the phrases that must be there.
 TEMPLATES: dict[str, list[tuple[str, list[str]]]] = {
     "mit": [
@@ -70,6 +72,7 @@ TEMPLATES: dict[str, list[tuple[str, list[str]]]] = {
 # Phrases and labels of the contract's base columns.
 BASE: dict[str, str] = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Different words that have to agree on a template's start (all of a shorter template's).
 MATCHES = 3
@@ -108,7 +111,8 @@ def licence_words() -> list[str]:
 def _words(text: Column) -> Column:
     """Words in order.  Lowering more than A-Z changes neither where words begin and end nor
     whether a word of ASCII letters stands there."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BETWEEN, " ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _strings(values: list[str]) -> Column:
@@ -140,7 +144,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     counts = word_frequencies(docs, text_col)
     rarest = sorted(licence_words(), key=lambda w: (counts.get(w, 0), w))  # highest inverse document frequency first
     # The words are kept only where one of the index is among them; whatever follows is null elsewhere.
-    words = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("_w"))
+    words = docs.select(F.col(id_col).alias("doc_id"), once(_words(F.col(text_col))).alias("_w"))
     words = words.select(
         "doc_id", F.size("_w").cast("long").alias("n_words"), F.when(F.arrays_overlap("_w", _strings(rarest)), F.col("_w")).alias("_w")
     )
