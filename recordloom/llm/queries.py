@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontam, licenses, linededup, lm, neardup, packing, quality, toxicity, urls
+from recordloom.llm import decontam, licenses, linededup, lm, neardup, packing, pii, quality, toxicity, urls
 from recordloom.llm.common import table
 
 
@@ -51,12 +51,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the registered query; a deployment passes its own secret.
+PII_KEY = "example-key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), *_kind_counts())
+
+
+def _kind_counts() -> list:
+    def count(kind: str):
+        return F.size(F.filter("_entities", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
+    return [count(kind) for kind in pii.KINDS]
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scans, op2_toxicity, op3_quality_rules, op4_simhash_near_dedup, op5_lm_scoring, op6_benchmark_decontamination, op8_best_fit_packing, op9_url_filters, op10_line_dedup]
+    found = [op1_license_scans, op2_toxicity, op3_quality_rules, op4_simhash_near_dedup, op5_lm_scoring, op6_benchmark_decontamination, op7_pii, op8_best_fit_packing, op9_url_filters, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
