@@ -41,9 +41,9 @@ START, END = 0xFE, 0xFF
 #: The token after a text's last word; no word holds a space.
 END_TOKEN = b" "
 #: Text that is scored or counted at once, in bytes.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 #: Words that a worker remembers, at most.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def _key(word: bytes) -> int:
@@ -96,7 +96,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         def told(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal words, parts, held
-            if words and (final or len(words) > 400_000):
+            if words and (final or len(words) > 250_000):
                 yield _rows(0, np.fromiter(map(_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words)))
                 words = Counter()
             if len(parts) > 1 and (final or held > 2_000_000):
