@@ -95,17 +95,21 @@ def common_items(a: Column, b: Column) -> Column:
     )
 
 
-def quoted(docs: DataFrame, doc_key: str, doc_text: Column, items: DataFrame, item_key: str, item_text: Column, window: int = 40) -> DataFrame:
+def quoted(docs: DataFrame, doc_key: str, doc_text: Column, items: DataFrame, item_key: str, item_text: Column, block: int = 20) -> DataFrame:
     """Items found word for word in documents, both flattened.
 
-    A join on the hash of an item's first ``window`` characters at each place of a document, then the
-    whole item is checked; items shorter than that are left to a scan, since they are few.
+    A document is cut into blocks of ``block`` characters.  Wherever an item of twice that length
+    stands, it covers a whole block, which then is one of its own pieces at the first ``block``
+    offsets: a join on hashes finds the documents, and the whole item is checked.  Shorter
+    items are few, and are looked for in every document.
     """
     quotes = items.select(F.col(item_key), item_text.alias("_q")).where(F.length("_q") > 0)
-    long, short = quotes.where(F.length("_q") >= window), quotes.where(F.length("_q") < window)
+    long, short = quotes.where(F.length("_q") >= 2 * block), quotes.where(F.length("_q") < 2 * block)
     flat = docs.select(F.col(doc_key), doc_text.alias("_d"))
-    starts = flat.withColumn("_k", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_d") - window + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("_d"), i, F.lit(window))))))
-    keyed = long.withColumn("_k", F.xxhash64(F.substring("_q", 1, window)))
-    found = starts.join(F.broadcast(keyed), "_k").where(F.col("_d").contains(F.col("_q"))).select(doc_key, item_key)
+    blocks = flat.select(doc_key, "_d", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_d", F.lit(f"(?s).{{{block}}}"), F.lit(0)), lambda x: F.xxhash64(x)))).alias("_k"))
+    pieces = long.select(item_key, "_q", F.explode(F.transform(F.sequence(F.lit(1), F.lit(block)), lambda i: F.xxhash64(F.substring("_q", i, F.lit(block))))).alias("_k")).distinct()
+    found = blocks.join(pieces, "_k").where(F.col("_d").contains(F.col("_q"))).select(doc_key, item_key)
+    if short.isEmpty():
+        return found.distinct()
     rest = flat.join(F.broadcast(short), F.col("_d").contains(F.col("_q"))).select(doc_key, item_key)
     return found.union(rest).distinct()
