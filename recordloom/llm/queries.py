@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontam, licenses, linededup, lm, neardup, packing, pii, quality, toxicity, urls
+from recordloom.llm import decontam, licenses, linededup, lm, neardup, oracle, packing, pii, quality, toxicity, urls
 from recordloom.llm.common import table
 
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

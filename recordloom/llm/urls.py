@@ -37,7 +37,7 @@ RULES = [
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TRACKING = r"(?<=[?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*(?:&|$)"
+_TRACKING = r"([?&])(?:(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*(?:&|$))+"
 
 
 def host_of(url: Column) -> Column:
@@ -62,7 +62,7 @@ def rule_of(host: Column, path: Column, rules: list[Rule] = RULES) -> tuple[Colu
 def plain(url: Column) -> Column:
     """The spelling that a URL's variants share; null without a host."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, _TRACKING, ""), r"[?&]+$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, _TRACKING, "$1"), r"[?&]+$", "")
     host, path = F.regexp_replace(host_of(bare), r"^www\.", ""), path_of(bare)
     query = F.regexp_extract(bare, r"(?s)(\?.*)$", 1)
     return F.when(host != "", F.concat(F.lit("//"), host, F.regexp_replace(path, "/+$", ""), query))
