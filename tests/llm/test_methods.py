@@ -378,7 +378,7 @@ def brute_lines(docs, least):
         for a, b in windows(seq):
             if first[tuple(x[1] for x in seq[a : b + 1])] < (d, seq[a][0]):
                 gone |= set(range(seq[a][0], seq[b][0] + 1))
-        out[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        out[d] = [x for k, x in enumerate(lines) if k not in gone and x.split()]
     return out
 
 
@@ -387,7 +387,8 @@ def test_every_repeated_run_goes(spark, least):
     rng = random.Random(least)
     stock = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 4))) for _ in range(6)]
     docs = [(d, "\n".join(rng.choice(stock) for _ in range(rng.randint(0, 14)))) for d in range(25)]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=least).collect()}
+    done = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=least).collect()
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if x.split()] for r in done}
     assert got == brute_lines(docs, least)
 
 
