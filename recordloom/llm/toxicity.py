@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -60,29 +61,30 @@ def fit(rows: list[tuple[str | None, int]], rates: tuple[float, float] | None =
     if not ones or not zeros:  # one label only: its share, smoothed, whatever the text
         share = (ones + 1) / (len(labels) + 2)
         return Model(math.log(share / (1 - share)), np.zeros(BUCKETS, np.float32))
-    known: dict[str, list[int]] = {}
-    index, values, sizes = [], [], []
-    for text, _ in rows:
-        bag = []
+    known: dict[str, array] = {}
+    bags, seen, with_one = [], np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for (text, _), label in zip(rows, labels):
+        bag = array("i")
         for word in words_of(text):
             if word not in known:
-                known[word] = features_of(word)
-            bag += known[word]
-        at, n = np.unique(np.array(bag, np.int32), return_counts=True)
-        index.append(at)
-        values.append(n.astype(np.float32))
-        sizes.append(len(at))
-    del known
-    index, values = np.concatenate(index), np.concatenate(values)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    with_one = np.bincount(index, labels[row], BUCKETS)
-    seen = np.bincount(index, minlength=BUCKETS)
+                if len(known) > 50_000:
+                    known.clear()
+                known[word] = array("i", features_of(word))
+            bag.extend(known[word])
+        at, n = np.unique(np.frombuffer(bag, np.int32), return_counts=True)
+        bags.append((at, n.astype(np.float32)))
+        seen[at] += 1
+        with_one[at] += int(label)
+    known.clear()
     ratio = np.log((with_one + 1) / (ones + 2)) - np.log((seen - with_one + 1) / (zeros + 2))
     ratio[(seen < _SUPPORT) | (np.abs(ratio) < _LEAST_RATIO)] = 0
-    used = ratio[index] != 0
-    index, values, row = index[used], values[used], row[used]
+    bags = [(at[keep], n[keep]) for at, n in bags for keep in (ratio[at] != 0,)]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(at) for at, _ in bags])
+    index, values = np.concatenate([at for at, _ in bags]), np.concatenate([n for _, n in bags])
+    del bags
     names, index = np.unique(index, return_inverse=True)
-    scaled = (values * ratio[names][index]).astype(np.float64)
+    index = index.astype(np.int32)
+    scaled = values * ratio[names][index].astype(np.float32)
     share = (ones / len(labels), zeros / len(labels)) if rates is None else rates
     weight = np.where(labels == 1, share[0] / ones, share[1] / zeros)
     w, bias = np.full(len(names), 0.02), math.log(share[0] / share[1])
