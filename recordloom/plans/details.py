@@ -45,11 +45,11 @@ def last_polled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, strftime((SELECT MAX(b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND epoch(b.ts)::BIGINT <= epoch(a.ts)::BIGINT - 900), '%Y-%m-%d %H:%M:%S') AS previous FROM events a WHERE event_type = 'purchase'"
+    "SELECT event_id, strftime((SELECT MAX(b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND epoch(b.ts)::BIGINT <= epoch(a.ts)::BIGINT - 900), '%Y-%m-%d %H:%M:%S') AS previous FROM events a"
 )
 def previous_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = observations(spark, sf_dir).where("kind = 'purchase'").select("event_id", "key", "ts")
-    return W.previous_at_least(e, ["key"], "ts", 15).select("event_id", F.date_format("previous", "yyyy-MM-dd HH:mm:ss").alias("previous"))
+    e = observations(spark, sf_dir).select("event_id", "key", "kind", "ts")
+    return W.previous_at_least(e, ["key", "kind"], "ts", 15).select("event_id", F.date_format("previous", "yyyy-MM-dd HH:mm:ss").alias("previous"))
 
 
 @query("SELECT event_id, replaces FROM (SELECT event_id, md5(event_type) AS sha, LAG(md5(event_type)) OVER (PARTITION BY user_id ORDER BY event_id) AS replaces FROM events) WHERE replaces <> sha")
@@ -119,14 +119,14 @@ def claims_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(DISTINCT CAST(o_orderdate AS DATE)) AS n FROM orders WHERE o_custkey % 20 = 3 GROUP BY 1)
-    SELECT strftime(month, '%Y-%m') AS month, CASE WHEN month > DATE '2001-01-01' THEN 'future' WHEN n >= day(last_day(month)) THEN 'covered' WHEN n > 0 THEN 'partial' ELSE 'uncovered' END AS state FROM d"""
+    """WITH d AS (SELECT o_orderpriority AS action, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(DISTINCT CAST(o_orderdate AS DATE)) AS n FROM orders GROUP BY 1, 2)
+    SELECT action, strftime(month, '%Y-%m') AS month, CASE WHEN month > DATE '2001-01-01' THEN 'future' WHEN n >= day(last_day(month)) THEN 'covered' WHEN n > 0 THEN 'partial' ELSE 'uncovered' END AS state FROM d"""
 )
 def coverage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "orders").where("o_custkey % 20 = 3").select(F.to_date("o_orderdate").alias("d"))  # one of twenty watchers' days
-    n = d.groupBy(F.trunc("d", "month").alias("month")).agg(F.countDistinct("d").alias("n"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("action"), F.to_date("o_orderdate").alias("d"))
+    n = d.groupBy("action", F.trunc("d", "month").alias("month")).agg(F.countDistinct("d").alias("n"))
     state = W.coverage_state(F.col("n"), F.day(F.last_day("month")), F.col("month") > F.to_date(F.lit("2001-01-01")))
-    return n.select(F.date_format("month", "yyyy-MM").alias("month"), state.alias("state"))
+    return n.select("action", F.date_format("month", "yyyy-MM").alias("month"), state.alias("state"))
 
 
 @query("SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations")

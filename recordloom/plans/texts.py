@@ -186,15 +186,11 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.display_names(*_represented(spark))
 
 
-@query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 50 + 1000000 AS b FROM lineitem WHERE l_orderkey % 400 = 0), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(x, root) AS (SELECT x, x FROM n UNION SELECT n.y, r.root FROM r JOIN n ON r.x = n.x) SELECT x AS node, MIN(root) AS root FROM r GROUP BY x"
-)
-def components_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT DISTINCT o_custkey AS node, o_custkey AS root FROM orders UNION ALL SELECT o_orderkey + 100000000, o_custkey FROM orders")
+def components_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.operators.components import connected_components
 
-    # The edges are those of a thin slice of orders on purpose: of all orders, everything is one component.
-    edges = table(spark, sf_dir, "lineitem").where("l_orderkey % 400 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 50 + 1000000).alias("b"))
-    return connected_components(edges)
+    return connected_components(table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 100000000).alias("a"), F.col("o_custkey").alias("b")))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import scalars as S
 from recordloom.operators import coverage, counting
 from recordloom.plans.catalogue import query, values
+from recordloom.storage import shared_dir
 from recordloom.streaming import passes
 from recordloom.tables import observations, table
 
@@ -142,11 +143,9 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _run(df: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream over all that there is puts out."""
-    from recordloom.storage import shared_dir
-
     spark = df.sparkSession
-    root = tempfile.mkdtemp(dir=shared_dir(spark).removeprefix("file://"))  # on a cluster: a shared folder
-    out, check = f"file://{root}/out", f"file://{root}/state"
+    root = f"{shared_dir(spark)}/recordloom/stream-{uuid.uuid4().hex}"
+    out, check = f"{root}/out", f"{root}/state"
     df.writeStream.outputMode(mode).option("checkpointLocation", check).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
