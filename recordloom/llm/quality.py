@@ -70,8 +70,8 @@ def measures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
         *keep,
         "_t",
         F.size("_w").cast("long").alias("n_words"),
-        F.when(F.size("_w") >= WINDOW, window).alias("_h"),
-        lines.alias("_l"),
+        once(F.when(F.size("_w") >= WINDOW, window)).alias("_h"),
+        once(lines).alias("_l"),
     )
     doubled = F.size("_h") > F.size(F.array_distinct("_h"))
     df = df.select(
@@ -83,17 +83,17 @@ def measures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         # Windows in the order of their hashes: equal ones are neighbours.
-        F.when(doubled, F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("_s"),
+        once(F.when(doubled, F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).alias("_s"),
     )
     seen = ["_t", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     twice = F.transform("_s", lambda e, k: F.when((e["h"] == _row("_s", k - 1)["h"]) | (e["h"] == _row("_s", k + 1)["h"]), e["i"]))
-    df = df.select(*keep, *seen, F.sort_array(F.array_compact(twice)).alias("_p"))
+    df = df.select(*keep, *seen, once(F.sort_array(F.array_compact(twice))).alias("_p"))
     covered = F.aggregate(
         F.transform("_p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(_row("_p", k + 1) - x, F.lit(WINDOW)))),
         F.lit(0).cast("long"),
         lambda n, x: n + x,
     )
-    return df.select(*keep, *seen, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return df.select(*keep, *seen, once(F.coalesce(covered, F.lit(0)).cast("long")).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
