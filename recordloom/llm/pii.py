@@ -59,20 +59,23 @@ def _given() -> list[str]:
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SECRET_BEFORE = r"(?<=[=:]\s{0,2}[\"']?)(?<=(?i:" + "|".join(SECRET_NAMES) + r")\s{0,2}[=:]\s{0,2}[\"']?)"
 _SURNAME = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
+#: No entity begins inside a word or number: everywhere else one look back ends the attempt.
+_BEGIN = r"(?<![A-Za-z0-9\p{L}\p{N}._%+-])"
+#: By what an entity begins with, so that a text's ordinary words are refused by their first letter.
 PATTERNS = [
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    r"(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\d|\.\d)",
-    r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"(?<![\d(+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    r"(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    r"(?<![\p{L}\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)",
+    r"(?=[\d(+])(?:"
+    + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\d|\.\d)"
+    + r"|\d{3}-\d{2}-\d{4}(?![\d-])"
+    + r"|(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+    + r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
+    + r"|\d(?:[ -]?\d){12,18}(?![\d-]|\.\d))",
+    r"[A-Za-z0-9\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    r"(?=[A-Z][A-Z])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
+    r"[0-9a-f]{32,}(?![\p{L}\p{N}])",
     _SECRET_BEFORE + r"[A-Za-z0-9_+/=-]{8,}",
-    r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
-    r"(?<=(?<!\p{L})(?:" + "|".join(ADDRESS) + r")\.? )" + _SURNAME + r"(?: " + _SURNAME + r")?",
-    r"(?<!\p{L})(?:" + "|".join(_given()) + r") " + _SURNAME,
-]
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS)
+    r"(?=\p{Lu})(?:(?<=(?<!\p{L})(?:" + "|".join(ADDRESS) + r")\.? )" + _SURNAME + r"(?: " + _SURNAME + r")?|(?:" + "|".join(_given()) + r") " + _SURNAME + ")",
+]
+ENTITY = _BEGIN + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS) + ")"
 
 
 def kind_of(value: Column) -> Column:
