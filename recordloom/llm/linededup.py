@@ -139,8 +139,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with later copies of repeated line runs deleted from the text, and ``_n_gone``, how many lines.
 
     A run is some consecutive lines with a word, ``min_words`` words in all or more; lines
-    without a word are passed over, and deleted if they stand inside a deleted run.  Lines
-    are equal if they are equal as they stand.  The order of places is that of ids (a null id
+    without a word are passed over, and deleted if they stand inside a least run of that many
+    words (between two lines that are each as long they stay).  Lines are equal if they are equal as they stand.  The order of places is that of ids (a null id
     comes first), then of lines.  Rows that share id and text are one document: they are all
     rewritten alike.  Rows that share an id but not a text are told apart by a hash of it;
     two runs at the same line of such rows are taken as one place.  Null texts stay null,
