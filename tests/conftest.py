@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -35,7 +36,7 @@ def as_rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
 
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v) is True:
             return "NULL"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
