@@ -148,7 +148,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words = words.select(
         "doc_id", F.size("_w").cast("long").alias("n_words"), F.when(F.arrays_overlap("_w", _strings(rarest)), F.col("_w")).alias("_w")
     )
-    found = words.select("doc_id", "n_words", _base_places(F.col("_w")).alias("_p"), F.array_compact(F.array(*[_match(t, F.col("_w"), rarest) for t in _templates()])).alias("_t"))
+    found = words.select("doc_id", "n_words", once(_base_places(F.col("_w"))).alias("_p"), once(F.array_compact(F.array(*[_match(t, F.col("_w"), rarest) for t in _templates()]))).alias("_t"))
     base_labels = F.transform("_p", lambda x: x["label"])
     labels = F.concat(base_labels, F.transform("_t", lambda x: x["label"]))
     starts = F.transform("_p", lambda x: x["place"].cast("long"))
