@@ -57,7 +57,10 @@ def ranked(docs: DataFrame, key: str, fields: dict[str, tuple[str, float]], word
     of other words.
     """
     words = [w.lower() for w in dict.fromkeys(words)]
-    had = {name: tokens(F.col(column)) for name, (column, _) in fields.items()}
+    # A projection that isn't deterministic isn't merged with the next: texts are cut into tokens once.
+    cut = {f"_t{n}": F.when(F.monotonically_increasing_id() >= 0, tokens(F.col(column))) for n, (column, _) in enumerate(fields.values())}
+    docs = docs.select(key, *[c.alias(name) for name, c in cut.items()])
+    had = {name: F.col(f"_t{n}") for n, name in enumerate(fields)}
     length = sum((F.size(h) for h in had.values()), F.lit(0))
     tf = [sum((weight * F.size(F.filter(had[name], lambda t: t == w)) for name, (_, weight) in fields.items()), F.lit(0.0)) for w in words]
     per = docs.select(key, length.alias("_len"), F.array(*tf).alias("_tf"))
