@@ -9,8 +9,10 @@ Both are pretrained on the documents of the training folds.
   the symbols of a context are among those of its suffix, so what is excluded at a level
   depends on the next longer context alone: a symbol's code length is the sum of constants
   of the contexts it escapes from and of its own edge, and is looked up, not simulated.
-  The model that goes to the tasks holds ``EDGES`` edges at most: where the corpus has more,
-  those under a least count are left out at every order alike (the trie stays closed).
+  Every edge counts.  A symbol's code length depends on its ``ORDER`` bytes of context alone:
+  those of frequent (context, symbol) pairs (``EDGES`` at most) go to the tasks, the others
+  meet theirs in a join.  Pairs that the corpus lacks are looked up in tries of parts of the
+  contexts: those that share their last two bytes escape to the same shorter ones.
 * The unigram model's counts of frequent words (``FREQUENT`` at most) go to the tasks; the
   others meet their counts in a join, so no count is missed.
 """
@@ -19,21 +21,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import LOWER, remainder, text_bytes
 from recordloom.storage import save
 
 ORDER = 4
-#: Edges of the model that goes to the tasks, at most.
+#: Pairs of a context and a symbol whose code lengths go to the tasks, at most.
 EDGES = 1_200_000
+#: Edges of a part of the contexts, about.
+PART_EDGES = 5_000
 #: Words whose counts go to the tasks, at most.
 FREQUENT = 400_000
 #: Bytes that occur in no UTF-8 text: before a text's beginning, and its end.
@@ -269,20 +274,45 @@ def code_lengths(code: np.ndarray, trie: Trie) -> np.ndarray:
     return value
 
 
-def trie_of(counts: DataFrame, most: int = EDGES) -> Trie:
-    """The bounded model from rows ``(key, n)`` of the longest contexts."""
+def pair_lengths(counts: DataFrame) -> DataFrame:
+    """``(key, n, value)``: code lengths of the pairs in rows ``(key, n)``, one for each pair."""
+    own = counts.groupBy(F.shiftright("key", 8).alias("context")).agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.collect_list(F.struct("key", "n")).alias("own")  # 256 at most
+    )
+    return own.select("total", "kinds", F.inline("own")).select("key", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("value"))
+
+
+def other_lengths(keys: DataFrame, counts: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
+    """``(key, value)``: code lengths of pairs ``key`` that the rows ``(key, n)`` of ``counts`` lack."""
     orders = F.posexplode(F.array(*[F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) for k in range(ORDER + 1)]))
     every = save(counts.select(orders.alias("ord", "k"), "n").groupBy("ord", "k").agg(F.sum("n").alias("n")), "contexts")
-    least = _least_count(every, most)
-    got = every.where(F.col("n") >= least).toArrow()  # at most ``most`` rows of three numbers
-    of, key, n = (got.column(c).to_numpy() for c in ("ord", "k", "n"))
-    return build_trie([key[of == k] for k in range(ORDER + 1)], [n[of == k] for k in range(ORDER + 1)])
+    low = every.where("ord < 2").toArrow()  # at most 256 * 257 rows
+    of, key, n = (low.column(c).to_numpy() for c in ("ord", "k", "n"))
+    known = keys.sparkSession.sparkContext.broadcast([(key[of == k], n[of == k]) for k in range(2)])
+    parts = 1 + every.count() // part_edges
+
+    def part(pair: str) -> Column:
+        return F.pmod(F.xxhash64(F.shiftright(pair, 8).bitwiseAND(F.lit(0xFFFF))), F.lit(parts)).alias("part")
+
+    def run(asked: pa.Table, edges: pa.Table) -> pa.Table:
+        code = asked.column("key").to_numpy()
+        if len(code):
+            of, key, n = (edges.column(c).to_numpy() for c in ("ord", "k", "n"))
+            found = [*known.value, *((key[of == k], n[of == k]) for k in range(2, ORDER + 1))]
+            value = code_lengths(code, build_trie([k for k, _ in found], [c for _, c in found]))
+        else:
+            value = np.zeros(0)
+        return pa.table({"key": pa.array(code, pa.int64()), "value": pa.array(value, pa.float64())})
+
+    asked = keys.select(part("key"), "key").groupBy("part")
+    return asked.cogroup(every.where("ord >= 2").select(part("k"), "ord", "k", "n").groupBy("part")).applyInArrow(run, "key long, value double")
 
 
 # ---------------------------------------------------------------- scoring
 
 class Told(NamedTuple):
-    trie: Trie
+    pairs: Lookup  # frequent pairs of a context and a symbol
+    values: np.ndarray  # their code lengths
     keys: np.ndarray  # of frequent words, ascending
     logs: np.ndarray  # log10 of their counts and one more
 
@@ -299,7 +329,11 @@ def _score(docs: DataFrame, model: Told, id_col: str, text_col: str) -> DataFram
             rows = []
             for lo, hi in _chunks(texts):
                 code, begin = grams(texts[lo:hi])
-                score = np.add.reduceat(code_lengths(code, own.trie), begin)
+                pair = own.pairs(code)
+                score = np.add.reduceat(np.where(pair >= 0, own.values[pair], 0.0) if len(own.values) else np.zeros(len(code)), begin)
+                odd = np.flatnonzero(pair < 0)
+                cuts = np.append(np.searchsorted(odd, begin), len(odd)).tolist()
+                odd = code[odd]
                 cut = [[*t.split(), END_TOKEN] for t in texts[lo:hi]]
                 if len(known) > REMEMBERED:
                     known.clear()
@@ -311,22 +345,24 @@ def _score(docs: DataFrame, model: Told, id_col: str, text_col: str) -> DataFram
                     at = np.minimum(at, len(own.keys) - 1)
                     hit = own.keys[at] == keys
                 known.update(zip(new, np.where(hit, own.logs[at] if len(own.keys) else 0.0, -1.0).tolist()))
-                for line, s in zip(cut, score.tolist()):
+                for line, s, a, b in zip(cut, score.tolist(), cuts, cuts[1:]):
                     logs = np.fromiter(map(known.__getitem__, line), np.float64, len(line))
                     rare = np.flatnonzero(logs < 0)
                     many = Counter(_key(line[k]) for k in rare.tolist())
-                    rows.append((number, len(line), len(line) - len(rare), float(logs[logs >= 0].sum()), s, list(many), list(many.values())))
+                    codes, n = np.unique(odd[a:b], return_counts=True)
+                    rows.append((number, len(line), len(line) - len(rare), float(logs[logs >= 0].sum()), s, list(many), list(many.values()), codes, n))
                     number += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = zip(*rows) if rows else ((),) * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 4)
+            columns = zip(*rows) if rows else ((),) * 9
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["id", "row", "n_tokens", "n_known", "logs", "score", "rare", "times"],
+                ["id", "row", "n_tokens", "n_known", "logs", "score", "rare", "times", "odd", "odd_times"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"id {kind}, row long, n_tokens long, n_known long, logs double, score double, rare array<long>, times array<long>"
+        run,
+        f"id {kind}, row long, n_tokens long, n_known long, logs double, score double, rare array<long>, times array<long>, odd array<long>, odd_times array<long>",
     )
 
 
@@ -337,22 +373,38 @@ def language_model_scores(
 
     Rows whose crc32 of the id modulo ``folds`` is ``fold`` teach nothing.  ``score`` is the log10 probability of the lowered text and its end
     under the byte model, ``base_score`` that of its tokens under the unigram model with one
-    added to each count.  Words are counted by 64-bit hash.  A null or empty text is its end
+    added to each count.  ``edges`` and ``frequent`` bound what goes to the tasks and change
+    no score.  Words are counted by 64-bit hash.  A null or empty text is its end
     alone.  Null and repeated ids keep their rows; an empty table gives no rows; with no
     training rows every symbol is equally likely.  Other columns are not read.
     """
     counts = save(corpus_counts(docs.where(remainder(F.col(id_col), folds) != fold), text_col), "counts")
     words = counts.where("kind = 0").select("key", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    trie = trie_of(counts.where("kind = 1").select("key", "n"), edges)
+    pairs = counts.where("kind = 1").select("key", "n")
+    lengths = save(pair_lengths(pairs), "pairs")
+    least_pair = _least_count(lengths, edges)
+    common = lengths.where(F.col("n") >= least_pair).toArrow()  # at most ``edges`` rows of two numbers
     least = _least_count(words, frequent)
     got = words.where(F.col("n") >= least).toArrow()  # at most ``frequent`` rows of two numbers
     keys, n = got.column("key").to_numpy(), got.column("n").to_numpy()
     by = np.argsort(keys)
-    scored = save(_score(docs, Told(trie, keys[by], np.log10(n[by] + 1.0)), id_col, text_col), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    met = rare.join(words.where(F.col("n") < least), "key").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("known")
+    told = Told(Lookup.of(common.column("key").to_numpy()), common.column("value").to_numpy(), keys[by], np.log10(n[by] + 1.0))
+    scored = save(_score(docs, told, id_col, text_col), "scored")
+
+    def parts(kind: int, key: str, times: str) -> DataFrame:
+        return scored.select("row", F.inline(F.arrays_zip(F.col(key).alias("key"), F.col(times).alias("times")))).select("row", F.lit(kind).alias("kind"), "key", "times")
+
+    rare = parts(0, "rare", "times").unionByName(parts(1, "odd", "odd_times"))
+    unseen = rare.where("kind = 1").select("key").distinct().join(lengths.where(F.col("n") < least_pair), "key", "left_anti")
+    values = [
+        words.where(F.col("n") < least).select(F.lit(0).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value")),
+        lengths.where(F.col("n") < least_pair).select(F.lit(1).alias("kind"), "key", "value"),
+        other_lengths(unseen, pairs).select(F.lit(1).alias("kind"), "key", "value"),
+    ]
+    word, value = F.col("kind") == 0, F.col("times") * F.col("value")
+    met = rare.join(reduce(DataFrame.unionByName, values), ["kind", "key"]).groupBy("row").agg(
+        F.sum(F.when(word, value)).alias("more"), F.sum(F.when(word, F.col("times"))).alias("known"), F.sum(F.when(~word, value)).alias("odd_score")
     )
     denominator = float(np.log10(total["n"] + total["v"] + 1))
     return (
@@ -364,6 +416,6 @@ def language_model_scores(
             (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
             F.lit(total["n"]).cast("long").alias("train_tokens"),
             (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("odd_score", F.lit(0.0))).alias("score"),
         )
     )

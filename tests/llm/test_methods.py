@@ -209,6 +209,12 @@ def test_pruned_model_is_closed(spark):
     assert (whole["score"] < 0).all() and np.isfinite(whole["score"]).all()
 
 
+def test_bound_of_the_tasks_model_changes_no_score(spark):
+    whole, few, none = (lm.language_model_scores(frame(spark, "documents"), edges=n).toPandas().set_index("doc_id").sort_index() for n in (lm.EDGES, 3000, 1))
+    for other in (few, none):
+        assert np.allclose(whole["score"], other["score"], atol=1e-6) and np.allclose(whole["base_score"], other["base_score"], atol=1e-6)
+
+
 # ------------------------------------------------ decontamination
 
 def test_suffix_array_order():
