@@ -6,8 +6,9 @@ gender and script; signs, country codes and top-level domains stay, and a card n
 passes the Luhn check still does.
 
 A surrogate is a keyed permutation of the value (a four-round Feistel network over the
-value's characters, whose round function is SHA-256 of the key, the kind and the other half).
-A permutation keeps distinct values distinct and gives a value the same surrogate
+value's characters, whose round function is SHA-256 of the key, the kind and the other half; then a turn of the first
+character, then the rounds backwards, so that no value keeps itself).  Letters and numbers of
+every script of the first plane, and CJK beyond it, are permuted.  A permutation keeps distinct values distinct and gives a value the same surrogate
 everywhere, in whatever spelling of the same format, without a table of entities; so texts
 are rewritten in their own rows and nothing of them is shuffled.
 
@@ -19,6 +20,7 @@ anew.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +50,31 @@ ALPHABETS = [
     "αβγδεζηθικλμνξοπρστυφχψω",
     "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ",
 ]
+#: First and last of large ranges of letters, which are permuted within 64 code points: CJK and Hangul.
+BLOCKS = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x2A6DF)]
+#: Letters that are not the lower case of one character, although they have a lower case: they stand for themselves.
+ODD = "".join(c for c in map(chr, range(128, 0x10000)) if c.isalpha() and c.lower() != c and (len(c.lower()) > 1 or c.lower().upper() != c))
+
+
+def _others() -> list[str]:
+    """Letters and numbers of the first plane in none of ``ALPHABETS`` and ``BLOCKS``, by script and case."""
+    by: dict[tuple[str, ...], list[str]] = {}
+    for c in map(chr, range(128, 0x10000)):
+        sort = unicodedata.category(c)[0]
+        if sort not in "LN" or any(first <= ord(c) <= last for first, last in BLOCKS) or any(c in a for a in ALPHABETS) or (c.lower() != c and c not in ODD):
+            continue
+        cased = c.upper() != c and len(c.upper()) == 1 and c.upper().lower() == c
+        by.setdefault((sort, "cased" if cased else "", unicodedata.name(c, "?").replace("-", " ").split()[0]), []).append(c)
+    rest = [c for cs in by.values() if len(cs) == 1 for c in cs]  # no other of their script
+    found = ["".join(cs) for cs in by.values() if len(cs) > 1]
+    return [*found, "".join(c for c in rest if c.upper() == c), "".join(c for c in rest if c.upper() != c)]
+
+
+OTHERS = [a for a in _others() if len(a) > 1]
+#: A private character for each of ``OTHERS``, and which has which.
+MARK = 0xE000
+_OTHER_LETTERS = "".join(OTHERS)
+_OTHER_MARKS = "".join(chr(MARK + k) * len(a) for k, a in enumerate(OTHERS))
 ROUNDS = 4
 KINDS = ["email", "phone", "ip", "card", "ssn", "iban", "secret", "name"]
 
@@ -72,7 +99,7 @@ PATTERNS = [
     r"[A-Za-z0-9\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
     r"(?=[A-Z][A-Z])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
     r"[0-9a-f]{32,}(?![\p{L}\p{N}])",
-    _SECRET_BEFORE + r"[A-Za-z0-9_+/=-]{8,}",
+    _SECRET_BEFORE + r"(?=[_+/=-]*+[A-Za-z0-9])[A-Za-z0-9_+/=-]{8,}",
     r"(?=\p{Lu})(?:(?<=(?<!\p{L})(?:" + "|".join(ADDRESS) + r")\.? )" + _SURNAME + r"(?: " + _SURNAME + r")?|(?:" + "|".join(_given()) + r") " + _SURNAME + ")",
 ]
 ENTITY = _BEGIN + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS) + ")"
@@ -103,25 +130,26 @@ def _let(value: Column, body) -> Column:
 
 
 def _permuted(indices: Column, sizes: Column, key: Column, kind: Column) -> Column:
-    """A keyed permutation of an array of indices, each below its size (sizes stay)."""
+    """A keyed permutation of an array of indices, each below its size (sizes stay, 2 at least), that leaves none as it is.
 
-    def half(values: Column, odd: int) -> Column:
-        return F.array_join(F.filter(values, lambda _, i: i % 2 == odd), ",")
+    Rounds, a turn of the first index, and the rounds backwards: as no turn leaves an index in place, neither does the whole.
+    """
+
+    def step(values: Column, n: Column) -> Column:
+        r = F.when(n < ROUNDS, n).otherwise(2 * ROUNDS - n)
+        sign = F.when(n < ROUNDS, 1).otherwise(-1)
+
+        def of(other: Column) -> Column:
+            def moved(v: Column, i: Column) -> Column:
+                size = F.get(sizes, i)
+                turn = F.when(i == 0, (v + 1 + _hash(key, kind, F.lit("turn")) % (size - 1)) % size).otherwise(v)
+                return F.when(n == ROUNDS, turn).when(i % 2 == r % 2, F.pmod(v + sign * _hash(key, kind, r.cast("string"), i.cast("string"), other), size)).otherwise(v)
 
-    def round_(values: Column, r: int) -> Column:
-        other = half(values, 1 - r % 2)
-        return _let(
-            other,
-            lambda o: F.transform(
-                values,
-                lambda v, i: F.when(i % 2 == r % 2, F.pmod(v + _hash(key, kind, F.lit(r), i.cast("string"), o), F.get(sizes, i))).otherwise(v),
-            ),
-        )
+            return F.transform(values, moved)
 
-    def after(r: int, values: Column) -> Column:
-        return _let(round_(values, r), lambda v: after(r + 1, v)) if r < ROUNDS else values
+        return _let(F.array_join(F.filter(values, lambda _, i: i % 2 != r % 2), ","), of)
 
-    return after(0, indices)
+    return F.aggregate(F.array(*map(F.lit, range(2 * ROUNDS + 1))), indices, step)
 
 
 _HEX = ["0123456789abcdef"]
@@ -132,9 +160,12 @@ def _letters(value: Column, key: Column, kind: Column, last: int | None = None,
     every = F.lit("".join(alphabets))
     chars = F.split(value, "")
 
+    def listed(c: Column) -> Column:
+        return (F.instr(every, c) > 0) | ((F.ascii(c) >= 128) & (_in_blocks(c) | _other(c).isNotNull())) if alphabets is ALPHABETS else F.instr(every, c) > 0
+
     def of(cs: Column) -> Column:
-        low = F.transform(cs, lambda c: F.lower(c))
-        places = F.filter(F.transform(low, lambda c, i: F.when(F.instr(every, c) > 0, i)), lambda i: i.isNotNull())
+        low = F.transform(cs, lambda c: F.when(F.instr(F.lit(ODD), c) > 0, c).otherwise(F.lower(c)))
+        places = F.filter(F.transform(low, lambda c, i: F.when(listed(c), i)), lambda i: i.isNotNull())
         if last is not None:
             places = F.slice(places, F.greatest(F.size(places) - last, F.lit(0)) + 1, last)
         return _let(F.struct(low.alias("low"), F.reverse(places).alias("at")), lambda s: _written(cs, s["low"], s["at"], key, kind, alphabets))
@@ -143,7 +174,26 @@ def _letters(value: Column, key: Column, kind: Column, last: int | None = None,
 
 
 def _alphabet(c: Column, alphabets: list[str]) -> Column:
-    return reduce(lambda rest, a: F.when(F.instr(F.lit(a), c) > 0, a).otherwise(rest), alphabets, F.lit(""))
+    other = F.when(_in_blocks(c), _block(c)).otherwise(F.get(F.array(*map(F.lit, OTHERS)), _other(c))) if alphabets is ALPHABETS else F.lit("")
+    return reduce(lambda rest, a: F.when(F.instr(F.lit(a), c) > 0, a).otherwise(rest), alphabets, other)
+
+
+def _in_blocks(c: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.ascii(c).between(*b) for b in BLOCKS])
+
+
+def _block(c: Column) -> Column:
+    """The 64 letters of a large range among which a letter is, fewer at the range's end."""
+    begin = F.ascii(c) - F.ascii(c) % 64
+    last = reduce(lambda rest, b: F.when(F.ascii(c) <= b[1], b[1]).otherwise(rest), reversed(BLOCKS), F.lit(0))
+    codes = F.sequence(begin, F.least(begin + 63, last))
+    return F.array_join(F.transform(codes, lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")), "")
+
+
+def _other(c: Column) -> Column:
+    """Which of ``OTHERS`` has a character, or null."""
+    mark = F.ascii(F.translate(c, _OTHER_LETTERS, _OTHER_MARKS)) - MARK
+    return F.when((F.ascii(c) >= 128) & ~F.ascii(c).between(MARK, MARK + len(OTHERS) - 1) & mark.between(0, len(OTHERS) - 1), mark)
 
 
 def _written(cs: Column, low: Column, at: Column, key: Column, kind: Column, alphabets: list[str]) -> Column:
@@ -152,16 +202,16 @@ def _written(cs: Column, low: Column, at: Column, key: Column, kind: Column, alp
     def of(abc: Column) -> Column:
         old = F.transform(at, lambda i, k: (F.instr(F.get(abc, k), F.get(low, i)) - 1).cast("long"))
         new = _permuted(old, F.transform(abc, lambda a: F.length(a).cast("long")), key, kind)
-        return _let(new, lambda ns: _spelled(cs, at, abc, ns))
+        return _let(new, lambda ns: _spelled(cs, low, at, abc, ns))
 
     return _let(chosen, of)
 
 
-def _spelled(cs: Column, at: Column, abc: Column, new: Column) -> Column:
+def _spelled(cs: Column, low: Column, at: Column, abc: Column, new: Column) -> Column:
     def char(c: Column, i: Column) -> Column:
         k = F.array_position(at, i).cast("int") - 1
         plain = F.substring(F.get(abc, k), (F.get(new, k) + 1).cast("int"), F.lit(1))
-        return F.when(k < 0, c).when(c != F.lower(c), F.upper(plain)).otherwise(plain)
+        return F.when(k < 0, c).when(c != F.get(low, i), F.upper(plain)).otherwise(plain)
 
     return F.array_join(F.transform(cs, char), "")
 
@@ -243,7 +293,8 @@ def checked_key(docs: DataFrame, key: str, text_col: str = "text", tries: int =
         salted = f"{key}/{turn}"
         mapped = save(known.withColumn("new", once(surrogate(F.col("value"), F.col("kind"), F.lit(salted)))), "surrogates")
         shared = mapped.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
-        kept = mapped.where("value = new").count()
+        # Signs alone, as in "_@-.com", tell nothing and stay.
+        kept = mapped.where((F.col("value") == F.col("new")) & ~((F.col("kind") == "email") & F.col("value").rlike(r"^[^\p{L}\p{N}]+@[^\p{L}\p{N}]+\.\p{L}+$"))).count()
         real = mapped.join(known.select(F.col("kind").alias("k"), F.col("value").alias("v")), (F.col("kind") == F.col("k")) & (F.col("new") == F.col("v")), "left_semi").count()
         drop(mapped)
         if not shared and not kept and (best is None or real < best[0]):

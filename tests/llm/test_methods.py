@@ -290,6 +290,17 @@ def test_same_value_same_surrogate_and_no_two_alike(spark):
     assert not {" and ".join(x) for x in got[:5]} & set(other)
 
 
+def test_no_value_is_kept_whatever_its_script_and_length(spark):
+    values = ["Password: ________", "Key:\n========", 'token: "++++++++"', "张伟@例子.com", "łść@żół.pl", "İẞ@ǅ.de", "שלום@ישראל.com", "김철수@한국.kr"]
+    values += [f"Dr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    got = [r for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
+    assert [r["text"] for r in got[:3]] == values[:3] and not any(r["_entities"] for r in got[:3])
+    assert all(r["text"] != v and len(r["text"]) == len(v) for r, v in zip(got[3:], values[3:]))
+    assert len({r["text"] for r in got}) == len(values)
+    assert got[3]["text"].endswith(".com") and all("\u3400" <= c <= "\U0002ffff" for c in got[3]["text"][:2])
+
+
 def test_plain_text_is_left(spark):
     for text in ("version 1.2.3, 555 apples", "The Mark of May 2024-05-06 at 10:30", "pages 12-34 and 3.14159", ""):
         df = spark.createDataFrame([(1, text)], "doc_id long, text string")
