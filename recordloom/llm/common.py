@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +49,52 @@ def without(text: Column, characters: str, instead: str = "") -> Column:
 def spaced_words(text: Column) -> Column:
     """Runs of anything but ASCII white space, as an array."""
     return F.array_remove(F.split(without(text, "\t\n\x0b\x0c\r", " "), " "), "")
+
+
+def names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Column names for an operator's own use that no column of ``docs`` has, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    mark = "_"
+    while any(f"{mark}{w}".lower() in taken for w in wanted):
+        mark += "_"
+    return [f"{mark}{w}" for w in wanted]
+
+
+#: Text that a worker turns into Python objects at once, in bytes.
+PART_BYTES = 1_000_000
+
+
+def parts(batch: pa.RecordBatch, at: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` bytes of its column ``at``, of one row at least."""
+    if not len(batch):
+        yield batch
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, most + (size[lo - 1] if lo else 0), "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+_KEPT: dict[str, object] = {}
+
+
+def let_go(but: str | None = None) -> None:
+    """Frees what other operators' tasks left in this worker process, which Spark uses again."""
+    if _KEPT.keys() - {but}:
+        for name in _KEPT.keys() - {but}:
+            del _KEPT[name]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What an operator's tasks keep in a worker from one to the next; a worker keeps one operator's only."""
+    let_go(name)
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]

@@ -21,18 +21,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT item_id, n, array_to_string(w[i:i+n-1], ' ') AS s FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT item_id, {_WORDS} AS w, ROW_NUMBER() OVER () AS t FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+bw AS (SELECT item_id, t, n, i AS o, array_to_string(w[i:i+n-1], ' ') AS s FROM (SELECT item_id, t, w, least(13, len(w)) AS n, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
-m AS (SELECT doc_id, i, dw.n AS n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
+m AS (SELECT doc_id, i, dw.n AS n, item_id, t, o FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
 h AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM m) GROUP BY doc_id),
 k AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
-g AS (SELECT doc_id, i, n, i - ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, MAX(n) AS n FROM m GROUP BY doc_id, i)),
-x AS (SELECT doc_id, MAX(e - s) AS longest FROM (SELECT doc_id, MIN(i) AS s, MAX(i + n) AS e FROM g GROUP BY doc_id, g) GROUP BY doc_id)
+g AS (SELECT *, i - ROW_NUMBER() OVER (PARTITION BY doc_id, t, i - o ORDER BY i) AS g FROM m),
+x AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, MIN(i) AS s, MIN(o) AS o, MAX(i + n) - MIN(i) AS longest FROM g GROUP BY doc_id, item_id, t, i - o, g),
+y AS (SELECT * FROM x QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY longest DESC, s, item, o) = 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-    coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated, coalesce(longest, 0) AS longest_match
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN x ON d.doc_id = x.doc_id"""
+    coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated, coalesce(longest, 0) AS longest_match, s - 1 AS longest_at, item AS longest_item, o - 1 AS longest_item_at
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN y ON d.doc_id = y.doc_id"""
 
 # No page of the tables states a canonical link or a redirect, so a component is one plain spelling.
 URLS = r"""
