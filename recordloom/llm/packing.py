@@ -24,6 +24,7 @@ offsets are added.
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import re
 import zlib
@@ -32,26 +33,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import LOWER
+from recordloom.llm.common import LOWER, kept, parts
 from recordloom.storage import save
 
 CAPACITY = 2048
 END_ID = 0
 #: Equal-cardinality groups of the large lengths.
 GROUPS = 64
-#: Words whose ids a worker keeps.
-WORDS_KEPT = 1_000_000
-#: Pieces of one length that a bucket holds, about.
-BUCKET_ROWS = 2_000
+#: Words whose ids a worker keeps, at most, and their bytes and those of their ids.
+WORDS_KEPT, WORD_BYTES_KEPT = 600_000, 24_000_000
 
 
 # ---------------------------------------------------------------- tokens
 
-#: A stop or comma that ends a word and isn't next to the letter or digit before it.
-_RUN = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
+#: Characters after which a stop or comma may be parted: letters and digits of the commonest scripts that stay
+#: one letter or digit in lower case (the dotted capital I does not, nor do letters with joining marks).
+_SAFE = "0-9A-Za-zªµºÀ-ÖØ-öø-įı-ɏΆΈ-ΊΌΎ-ΡΣ-ϵϷ-ҁҊ-ԯ一-鿿ぁ-ゖァ-ヺ가-힣"
+#: A stop or comma that ends a word and stands behind anything else.
+_RUN = re.compile(rf"[^ \t\n{_SAFE}][.,][ \n]")
 #: First bytes of marks that join with a letter before them; what begins a special token's name.
 _JOINS = (b"\xcc", b"\xcd", b"<|")
 
@@ -62,8 +65,8 @@ class WordIds:
     The tokenizer lowers case and drops white space, and a run of letters, a digit and a run of
     other signs are tokens of their own.  So the ids of a text are those of its words one after
     another, ASCII letters may be lowered first, and a stop or comma may be parted from a
-    letter or digit before it.  Texts for which that isn't certain (signs in a row, joining
-    marks, names of special tokens) are only cut at spaces and line feeds.
+    letter or digit before it.  Texts for which that isn't certain (signs in a row, letters of
+    other scripts, joining marks, names of special tokens) are only cut at spaces and line feeds.
     """
 
     #: Stands between words that are encoded in one call; a word that holds it is encoded alone.
@@ -78,6 +81,7 @@ class WordIds:
         self.between = between[0] if len(between) == 1 else None
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.weight = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -88,11 +92,13 @@ class WordIds:
         for w in alone:
             self.words[w] = np.array(self._ids(w.decode()), "<u4").tobytes()
         rest = [w for w in words if w not in self.words] if alone else words
+        self.weight += sum(map(len, words)) + sum(len(self.words[w]) for w in alone)
         for k in range(0, len(rest), 5000):
             part = rest[k : k + 5000]
             joined = (b" %b " % cut).join(part).decode()
             found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             at, raw = 4 * np.flatnonzero(found == self.between), found.tobytes()
+            self.weight += len(raw)
             for w, lo, hi in zip(part, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
                 self.words[w] = raw[lo:hi]
 
@@ -107,8 +113,8 @@ class WordIds:
         return text.encode().translate(LOWER).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > WORDS_KEPT // 2:
-            self.older, self.words = self.words, {}
+        if len(self.words) > WORDS_KEPT // 2 or self.weight > WORD_BYTES_KEPT // 2:
+            self.older, self.words, self.weight = self.words, {}, 0
         cut = list(map(self.cut, texts))
         words, older, missing = self.words, self.older, []
         for w in {w for line in cut for w in line if w not in words}:
@@ -120,48 +126,37 @@ class WordIds:
         return [b"".join(map(words.__getitem__, line)) for line in cut]
 
 
-_ENCODERS: dict[str, WordIds] = {}
-
-
 def _encoder(path: str) -> WordIds:
-    """The encoder of this worker process: what it learned serves its later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    """The encoder of this worker process: what it learned serves its later tasks of this operator."""
+    return kept(f"words {path}", lambda: WordIds(path))
 
 
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
 ) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)``: a document's ids and the end id, cut where longer
-    than ``capacity``."""
+    """``(doc_id, row, piece, start, length, ids_crc32)``: a document's ids and the end id, cut where longer
+    than ``capacity``; ``row`` is another number for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            encode = _encoder(tokenizer_path)
-            ids, rows = batch.column(0), []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at, weight, cuts = 0, 0, [0]
-            for t in texts:  # a few MB of text at a time
-                at, weight = at + 1, weight + len(t)
-                if weight > 4_000_000:
-                    cuts, weight = [*cuts, at], 0
-            for lo, hi in zip(cuts, [*cuts[1:], len(texts)]):
-                for row, raw in enumerate(encode(texts[lo:hi]), lo):
-                    raw += END_ID.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        part = raw[4 * start : 4 * (start + capacity)]
-                        rows.append((row, piece, start, len(part) // 4, zlib.crc32(part)))
-            took, piece, start, length, crc = zip(*rows) if rows else ((),) * 5
+        number = TaskContext.get().partitionId() << 36
+        for part in (part for batch in batches for part in parts(batch, 1, 4_000_000)):
+            rows = []
+            for row, raw in enumerate(_encoder(tokenizer_path)([t or "" for t in part.column(1).to_pylist()])):
+                raw += END_ID.to_bytes(4, "little")
+                n = len(raw) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    some = raw[4 * start : 4 * (start + capacity)]
+                    rows.append((row, number, piece, start, len(some) // 4, zlib.crc32(some)))
+                    number += 1
+            took, row_number, piece, start, length, crc = zip(*rows) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(took, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                ["id", "piece", "start", "length", "ids_crc32"],
+                [part.column(0).take(pa.array(took, pa.int64())), pa.array(row_number, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                ["id", "row", "piece", "start", "length", "ids_crc32"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"id {kind}, piece int, start long, length long, ids_crc32 long"
+        run, f"id {kind}, row long, piece int, start long, length long, ids_crc32 long"
     )
     return out.withColumnRenamed("id", "doc_id")
 
@@ -328,23 +323,24 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, groups: int
 # ---------------------------------------------------------------- placing
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a written table with ``doc_id``, ``piece``, ``length`` and ``ids_crc32``) and the
-    ``sequence_id`` and ``offset`` of each.
+    """``pieces`` (a written table with ``row`` and ``length``) and the ``sequence_id`` and ``offset`` of each.
 
-    Equal rows may take each other's places.  An empty table gives no rows.
+    The pieces of a length are dealt over buckets by a hash of ``row``, of about as many pieces
+    as there are buckets, so neither a common length nor a repeated row fills one task.  An
+    empty table gives no rows.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_sequences(counts, capacity) if counts else []
-    spread = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, _buckets long")
+    spread = spark.createDataFrame([(k, math.isqrt(n)) for k, n in counts.items()], "length long, _buckets long")
     # One row for each length there is: at most ``capacity`` rows.
     dealt = pieces.join(F.broadcast(spread), "length").withColumn(
-        "_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_buckets"))
+        "_bucket", F.pmod(F.xxhash64("row"), F.col("_buckets"))
     )
     held = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "_bucket").orderBy("row")
     ranked = (
         dealt.withColumn("_rank", F.row_number().over(inside) - 1)
         .join(starts, ["length", "_bucket"])
@@ -357,7 +353,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         runs, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     )
     return placed.select(
-        *pieces.columns, (F.col("_seq") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_offset").alias("offset")
+        *[c for c in pieces.columns if c != "row"], (F.col("_seq") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_offset").alias("offset")
     )
 
 
