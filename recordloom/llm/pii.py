@@ -8,14 +8,17 @@ passes the Luhn check still does.
 A surrogate is a keyed permutation of the value (a four-round Feistel network over the
 value's characters, whose round function is SHA-256 of the key, the kind and the other half; then a turn of the first
 character, then the rounds backwards, so that no value keeps itself).  Letters and numbers of
-every script of the first plane, and CJK beyond it, are permuted.  A permutation keeps distinct values distinct and gives a value the same surrogate
-everywhere, in whatever spelling of the same format, without a table of entities; so texts
-are rewritten in their own rows and nothing of them is shuffled.
+every script of the first plane, and CJK beyond it, are permuted.  Where a format has values
+that are treated apart (given names among words, hexadecimal secrets among others), the
+permutation of the rest is walked on until it leaves those, so it stays one.  A permutation
+keeps distinct values distinct and gives a value the same surrogate everywhere, in whatever
+spelling of the same format, without a table of entities; so texts are rewritten in their own
+rows and nothing of them is shuffled, and no value can fail.
 
 Before that, the corpus's distinct entities and their surrogates are checked by aggregation:
 no two entities of a kind may share a surrogate, none may keep its value, and as few
-surrogates as can be may be the value of another entity.  If a check fails the key is salted
-anew.
+surrogates as can be may be the value of another entity.  Of some salts of the key the one
+that does best is taken.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import once
+from recordloom.llm.common import names, once
 from recordloom.storage import drop, save
 
 # Common given names by gender and script, and forms of address.
@@ -76,6 +79,9 @@ MARK = 0xE000
 _OTHER_LETTERS = "".join(OTHERS)
 _OTHER_MARKS = "".join(chr(MARK + k) * len(a) for k, a in enumerate(OTHERS))
 ROUNDS = 4
+#: Steps in which a walk leaves the given names, or hexadecimal values: at least as many as there are of one format's names;
+#: a walk through as many hexadecimal values of eight signs or more has a chance of 1 to 10**70.
+WALK = 30
 KINDS = ["email", "phone", "ip", "card", "ssn", "iban", "secret", "name"]
 
 
@@ -242,19 +248,42 @@ def _luhn(digits: Column) -> Column:
     )
 
 
+def _walked(value: Column, step, left) -> Column:
+    """``step`` applied to the value, and again while ``left`` holds of what it gave.
+
+    If ``step`` permutes the values of a format and ``left`` doesn't hold of the value, this
+    permutes those of which it doesn't hold.
+    """
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), step(value), lambda v, _: F.when(left(v), step(v)).otherwise(v))
+
+
 def _card(value: Column, key: Column) -> Column:
+    """The last digit stays as far from the Luhn check digit as it was, so that valid numbers are valid and others not."""
+
+    def missing(digits: Column) -> Column:
+        return -_luhn(F.concat(F.regexp_replace(digits, r"\D", ""), F.lit("0")))
+
     head = F.substring(value, F.lit(1), F.length(value) - 1)
-    valid = _luhn(F.regexp_replace(value, r"\D", "")) % 10 == 0
-    new = _letters(head, key, F.lit("card"))
-    check = _let(new, lambda h: F.concat(h, F.pmod(-_luhn(F.concat(F.regexp_replace(h, r"\D", ""), F.lit("0"))), F.lit(10)).cast("string")))
-    return F.when(valid, check).otherwise(_letters(value, key, F.lit("number")))
+    apart = F.substring(value, F.length(value), F.lit(1)).cast("int") - missing(head)
+    return _let(_letters(head, key, F.lit("card")), lambda h: F.concat(h, F.pmod(missing(h) + apart, F.lit(10)).cast("string")))
+
+
+def _secret(value: Column, key: Column, kind: Column) -> Column:
+    """The well-known beginning of an access key stays, and a hexadecimal secret is one."""
+    hexadecimal = "^[0-9a-f]+$"
+    rest = F.substring(value, F.lit(5), F.length(value))
+    return (
+        F.when(value.rlike(hexadecimal), _letters(value, key, F.lit("hex"), alphabets=_HEX))
+        .when(value.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), _letters(rest, key, F.lit("access"))))
+        .otherwise(_walked(value, lambda v: _letters(v, key, kind), lambda v: v.rlike(hexadecimal) | v.rlike("^AKIA[0-9A-Z]{16}$")))
+    )
 
 
 def _name_word(word: Column, key: Column) -> Column:
-    """A given name's surrogate is one of its gender and script; another word is spelled anew."""
-    out = _letters(word, key, F.lit("surname"))
-    for gender, names in (("m", MALE), ("f", FEMALE)):
-        for script, own in names.items():
+    """A given name's surrogate is one of its gender and script; another word is spelled anew, as no given name."""
+    out = _walked(word, lambda w: _letters(w, key, F.lit("surname")), lambda w: w.isin(_given()))
+    for gender, of_gender in (("m", MALE), ("f", FEMALE)):
+        for script, own in of_gender.items():
             listed = F.array(*[F.lit(n) for n in own])
             at = F.array_position(listed, word).cast("long") - 1
             turn = 1 + _hash(key, F.lit("given"), F.lit(gender), F.lit(script)) % (len(own) - 1)  # moves every name
@@ -270,8 +299,9 @@ def surrogate(value: Column, kind: Column, key: Column) -> Column:
         .when(kind == "card", _card(value, key))
         .when(kind == "phone", _letters(value, key, F.lit("phone"), last=10))
         .when(kind == "name", F.array_join(F.transform(F.split(value, "(?<=[ -])|(?=[ -])"), lambda w: F.when(w.isin(" ", "-"), w).otherwise(_name_word(w, key))), ""))
-        .when(value.rlike("^[0-9a-f]+$"), _letters(value, key, F.lit("hex"), alphabets=_HEX))
-        .otherwise(_letters(value, key, kind))
+        .when(kind == "iban", F.concat(F.substring(value, 1, 2), _letters(F.substring(value, F.lit(3), F.length(value)), key, kind)))
+        .when(kind == "ssn", _letters(value, key, kind))
+        .otherwise(_secret(value, key, kind))
     )
 
 
@@ -284,11 +314,11 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def checked_key(docs: DataFrame, key: str, text_col: str = "text", tries: int = 3) -> str:
     """The key, salted so that the corpus's surrogates pass the checks.
 
-    Two different values that share a surrogate, or one that keeps its value, rule a salt out;
-    of the others the first is taken of which the fewest surrogates are values of the corpus.
+    Of ``tries`` salts that one is taken under which the fewest values share a surrogate or keep
+    their value (none can), then the fewest surrogates are values of the corpus.
     """
     known = save(entities(docs, text_col), "entities")
-    best: tuple[int, str] | None = None
+    best: tuple[int, int, str] | None = None
     for turn in range(tries):
         salted = f"{key}/{turn}"
         mapped = save(known.withColumn("new", once(surrogate(F.col("value"), F.col("kind"), F.lit(salted)))), "surrogates")
@@ -297,30 +327,30 @@ def checked_key(docs: DataFrame, key: str, text_col: str = "text", tries: int =
         kept = mapped.where((F.col("value") == F.col("new")) & ~((F.col("kind") == "email") & F.col("value").rlike(r"^[^\p{L}\p{N}]+@[^\p{L}\p{N}]+\.\p{L}+$"))).count()
         real = mapped.join(known.select(F.col("kind").alias("k"), F.col("value").alias("v")), (F.col("kind") == F.col("k")) & (F.col("new") == F.col("v")), "left_semi").count()
         drop(mapped)
-        if not shared and not kept and (best is None or real < best[0]):
-            best = real, salted
-        if best and not best[0]:
+        best = min(best or (shared + kept, real, salted), (shared + kept, real, salted))
+        if not best[0] and not best[1]:
             break
     drop(known)
-    if best is None:
-        raise ValueError(f"no salt of {tries} keeps the corpus's entities apart; try another key or more salts")
-    return best[1]
+    return best[2]
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", check: bool = True) -> DataFrame:
     """``docs`` with entities replaced in the text, and ``_entities``, their kinds in order.
 
     Null texts stay null and have no entities; empty ones stay.  Null or repeated ids and
-    repeated rows are rewritten alike; an empty table gives no rows; other columns stay.
+    repeated rows are rewritten alike; an empty table gives no rows; other columns stay, but
+    for one that is called ``_entities``.
     """
     salted = checked_key(docs, key, text_col) if check else f"{key}/0"
+    found, new, gaps = names(docs, "found", "new", "gaps")
     text = F.col(text_col)
     has = F.coalesce(text.rlike(ENTITY), F.lit(False))
-    df = docs.withColumn("_m", once(F.when(has, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))))
-    df = df.withColumn("_m", once(F.transform("_m", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))))
-    new = F.transform("_m", lambda m: surrogate(m["value"], m["kind"], F.lit(salted)))
+    df = docs.withColumn(found, once(F.when(has, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))))
+    df = df.withColumn(found, once(F.transform(found, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))))
+    surrogates = F.transform(found, lambda m: surrogate(m["value"], m["kind"], F.lit(salted)))
     # Pieces between entities, each followed by the next surrogate.
-    df = df.withColumn("_new", once(new)).withColumn("_gaps", once(F.when(F.col("_m").isNotNull(), F.split(text, ENTITY, -1))))
-    written = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_new", i), F.lit("")))), "")
-    kinds = F.coalesce(F.transform("_m", lambda m: m["kind"]), F.array().cast("array<string>"))
-    return df.select(*[(F.coalesce(written, text).alias(c) if c == text_col else F.col(c)) for c in docs.columns], kinds.alias("_entities"))
+    df = df.withColumn(new, once(surrogates)).withColumn(gaps, once(F.when(F.col(found).isNotNull(), F.split(text, ENTITY, -1))))
+    written = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
+    kinds = F.coalesce(F.transform(found, lambda m: m["kind"]), F.array().cast("array<string>"))
+    kept = [c for c in docs.columns if c.lower() != "_entities"]
+    return df.select(*[(F.coalesce(written, text).alias(c) if c == text_col else F.col(c)) for c in kept], kinds.alias("_entities"))
