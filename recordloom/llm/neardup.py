@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import LOWER, text_bytes
+from recordloom.llm.common import LOWER, let_go, names, parts, text_bytes
 from recordloom.operators.components import connected_components
 from recordloom.storage import save
 
@@ -58,17 +58,22 @@ def simhash(text: bytes, words: int = 3) -> int:
     return int(np.packbits(votes * 2 > len(joined), bitorder="little").view(np.uint64)[0])
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``(id_col, fp)``, fp a signed 64-bit integer; one row per row of ``docs``."""
+    """``(id_col, th, fp)``, th a hash of the text, fp a signed 64-bit integer; one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([simhash(t, words) for t in text_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+        let_go()
+        for part in (part for batch in batches for part in parts(batch, 1)):
+            fps = np.array([simhash(t, words) for t in text_bytes(part.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps.view(np.int64))], ["id", "th", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long")
-    return found.select(F.col("id").alias(id_col), "fp")
+    found = docs.select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(run, f"id {kind}, th long, fp long")
+    return found.select(F.col("id").alias(id_col), "th", "fp")
 
 
 def _embedding(fp: Column) -> Column:
@@ -165,7 +170,19 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, cell_rows: int = CELL_R
     return pairs.unionByName(blocks)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """``(id_col, th, fp)`` of each row, ``th`` a hash of its text; and ``(f, component_id, head)`` of each fingerprint:
+    its class's least id and the place of the document that stands for it."""
+    own = save(fingerprints(docs, id_col, text_col, words), "simhash")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("th").alias("th"))
+    nodes = save(own.groupBy("fp").agg(F.min(id_col).alias("least"), F.min(place).alias("head")), "fingerprints")
+    roots = save(connected_components(fingerprint_links(nodes.select("fp"), distance)), "roots")
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "head", F.coalesce("root", "fp").alias("root"))
+    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.min("head").alias("head"))
+    return own, save(placed.select("fp", "root").join(lowest, "root").select(F.col("fp").alias("f"), "component_id", "head"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` for every row of ``docs``.
 
     ``fingerprint`` is 16 lower-case hex digits.  ``component_id`` is the least id that is
@@ -175,24 +192,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids and repeated rows keep one row each.  An empty table gives no rows; other columns
     are not read.
     """
-    own = save(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = save(own.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
-    links = fingerprint_links(nodes.select("fp"), distance)
-    roots = save(connected_components(links), "roots")
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = save(placed.join(lowest, "root").select(F.col("fp").alias("f"), "component_id"), "classes")
-    return own.join(labelled, F.col("fp") == F.col("f")).select(
+    own, classes = _classes(docs, id_col, text_col, words, distance)
+    return own.join(classes, F.col("fp") == F.col("f")).select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3) -> DataFrame:
     """``docs`` without all but one document of each class; the one with the least id stays.
 
-    Rows with equal ids are one document.  Rows with a null id stay, having nothing by
-    which to tell them from the class's representative.
+    Rows are told apart by id and text (by a hash of it; null and empty texts are alike), so
+    a text of its own stays whatever other rows share its id.  Of rows that share both one
+    stays.  Null ids come after all others.  An empty table gives no rows; other columns stay.
     """
-    found = near_duplicates(docs, id_col, text_col, distance)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    own_id, own_th, th = names(docs, "id", "th", "h")
+    _, classes = _classes(docs, id_col, text_col, words, distance)
+    heads = classes.select("head").distinct().select(F.col("head.id").alias(own_id), F.col("head.th").alias(own_th))
+    hashed = docs.withColumn(th, _text_hash(text_col))
+    kept = hashed.join(heads, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th)), "left_semi")
+    return kept.dropDuplicates([id_col, th]).select(*docs.columns)
