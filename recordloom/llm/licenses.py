@@ -1,13 +1,14 @@
 """License scan by a positional rare-token index, in DataFrame functions only.
 
-Templates are short licence notices.  Their words' postings (template, position) are the
-index; it is fixed and small.  How many documents hold each licence word is counted over
-the whole corpus and gives the words' inverse document frequencies.  Of each file, the
-licence words with the highest of these are looked up, some for each template whose
-mandatory words it holds; each place of such a word and
-each posting give a start that the template would have; starts at which at least
-``MATCHES`` different words agree are candidates.  A candidate counts if all mandatory
-phrases of its template stand at their places.
+Templates are short licence notices.  How many documents hold each licence word is counted
+over the whole corpus and gives the words' inverse document frequencies.  The index has for
+each template the postings (word, template, position) of its rarest mandatory words: every
+match of the template holds them, so they are the highest that a file with one can look up,
+and nothing is lost by asking for no others.
+
+A file's words are looked up once.  Each place of an indexed word and each of its postings
+give a start that a template would have; the postings of a template intersect at a start
+which all of them give.  There the mandatory phrases are verified word by word.
 
 Everything about a file happens in its own row: no text is shuffled and no file's words
 leave their task.
@@ -74,10 +75,9 @@ BASE: dict[str, str] = {"mit license": "mit", "apache license": "apache", "gener
 
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Different words that have to agree on a template's start (all of a shorter template's).
+#: Different words that have to agree on a template's start (all of a shorter template's), and words of
+#: each template that are indexed, if its phrases have as many.
 MATCHES = 3
-#: Words of a template, the rarest that the file holds, that are looked up.
-RAREST = 6
 
 
 def words_of(text: str) -> list[str]:
@@ -141,14 +141,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     by commas.  Null or empty texts have no words; null or repeated ids and repeated rows
     keep their rows; an empty table gives no rows; other columns are not read.
     """
-    counts = word_frequencies(docs, text_col)
-    rarest = sorted(licence_words(), key=lambda w: (counts.get(w, 0), w))  # highest inverse document frequency first
-    # The words are kept only where one of the index is among them; whatever follows is null elsewhere.
+    postings = index(word_frequencies(docs, text_col))
+    asked = sorted({*postings, *(w for phrase in BASE for w in phrase.split())})
+    # The words are kept only where one that is asked for is among them; whatever follows is null elsewhere.
     words = docs.select(F.col(id_col).alias("doc_id"), once(_words(F.col(text_col))).alias("_w"))
     words = words.select(
-        "doc_id", F.size("_w").cast("long").alias("n_words"), F.when(F.arrays_overlap("_w", _strings(rarest)), F.col("_w")).alias("_w")
+        "doc_id", F.size("_w").cast("long").alias("n_words"), F.when(F.arrays_overlap("_w", _strings(asked)), F.col("_w")).alias("_w")
     )
-    found = words.select("doc_id", "n_words", once(_base_places(F.col("_w"))).alias("_p"), once(F.array_compact(F.array(*[_match(t, F.col("_w"), rarest) for t in _templates()]))).alias("_t"))
+    found = words.select("doc_id", "n_words", "_w", once(_base_places(F.col("_w"))).alias("_p"), once(_starts(F.col("_w"), postings)).alias("_s"))
+    found = found.select("doc_id", "n_words", "_p", once(_matches(F.col("_w"), F.col("_s"))).alias("_t"))
     base_labels = F.transform("_p", lambda x: x["label"])
     labels = F.concat(base_labels, F.transform("_t", lambda x: x["label"]))
     starts = F.transform("_p", lambda x: x["place"].cast("long"))
@@ -165,6 +166,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
+def index(counts: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """By word: template, position, and how many words of the template are indexed."""
+    out: dict[str, list[tuple[int, int, int]]] = {}
+    for number, t in enumerate(_templates()):
+        place: dict[str, int] = {}
+        for at, phrase in t.phrases:
+            for k, w in enumerate(phrase):
+                place.setdefault(w, at + k)
+        # Highest inverse document frequency first; words that aren't counted are in any text.
+        rarest = sorted(place, key=lambda w: (w in _PLAIN, counts.get(w, 0), w))[:MATCHES]
+        for w in rarest:
+            out.setdefault(w, []).append((number, place[w], len(rarest)))
+    return out
+
+
 def _holds(words: Column, needed: list[str]) -> Column:
     """Whether all of these words are there, asked one after another until one isn't."""
     return reduce(lambda a, b: a & b, [F.coalesce(F.array_contains(words, w), F.lit(False)) for w in needed])
@@ -180,39 +196,35 @@ def _base_places(words: Column) -> Column:
     return F.concat(*[places(phrase.split(), label) for phrase, label in BASE.items()])
 
 
-def _match(t: _Template, words: Column, rarest: list[str]) -> Column:
-    """Label and share of a template that matches the row's words, else null."""
-    postings = [(w, k) for k, w in enumerate(t.words) if w not in _PLAIN]
-    own = [w for w in rarest if w in {x for x, _ in postings}]
-    need = min(MATCHES, len(own))
-    looked_up = F.slice(F.array_intersect(_strings(own), words), 1, RAREST)
-    # Places of looked-up words minus their postings: one possible start of the template each.
-    starts = F.transform(
-        F.array(looked_up),
-        lambda rare: F.array_distinct(
-            F.flatten(
-                F.array_compact(
-                    F.transform(
-                        words,
-                        lambda w, i: F.when(
-                            F.array_contains(rare, w), F.array_compact(F.array(*[F.when(w == x, i - k) for x, k in postings]))
-                        ),
-                    )
-                )
-            )
-        ),
-    )[0]
+def _starts(words: Column, postings: dict[str, list[tuple[int, int, int]]]) -> Column:
+    """Templates and starts on which all postings of the template agree."""
+    held = F.create_map(
+        *[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(n).alias("n")) for t, p, n in ps]))]
+    )
+    indexed = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(_strings(sorted(postings)), x["w"]))
+    given = F.flatten(
+        F.transform(indexed, lambda x: F.transform(F.element_at(held, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("start"), p["n"].alias("n"))))
+    )
+    # A posting gives a start once, so a start that n of them give follows itself n - 1 times.
+    return F.transform(F.array(F.sort_array(given)), lambda all_: F.filter(all_, lambda x, k: x.eqNullSafe(F.get(all_, k + x["n"] - 1))))[0]
 
-    def agreeing(start: Column) -> Column:
-        return sum((F.when(F.get(words, start + k).eqNullSafe(F.lit(w)), 1).otherwise(0) for w, k in postings), F.lit(0))
 
-    def verified(start: Column) -> Column:
-        return reduce(lambda a, b: a & b, [_phrase_at(words, start + at, p) for at, p in t.phrases])
+def _matches(words: Column, starts: Column) -> Column:
+    """Labels and shares of templates that stand at their starts, phrases and all."""
+    templates = _templates()
+    text = F.array(*[_strings(t.words) for t in templates])
+    labels = _strings([t.label for t in templates])
+    phrases = F.array(*[F.array(*[F.lit(at + k) for at, p in t.phrases for k in range(len(p))]) for t in templates])
+    counted = [[k for k, w in enumerate(t.words) if w not in _PLAIN] for t in templates]
+    others = F.array(*[F.array(*map(F.lit, ks)) for ks in counted])
+    least = F.array(*[F.lit(min(MATCHES, len({t.words[k] for k in ks}))) for t, ks in zip(templates, counted)])
 
-    shares = F.transform(starts, lambda s: F.when(verified(s), F.when(agreeing(s) >= need, agreeing(s) / F.lit(float(len(postings))))))
-    share = F.array_max(shares)
-    mandatory = {w for _, p in t.phrases for w in p}
-    asked = [w for w in rarest if w in mandatory] + sorted(mandatory - set(rarest))
-    return F.when(
-        _holds(words, asked), F.transform(F.array(share), lambda x: F.when(x.isNotNull(), F.struct(F.lit(t.label).alias("label"), x.alias("share"))))[0]
-    )
+    def stands(s: Column, k: Column) -> Column:
+        return F.get(words, s["start"] + k).eqNullSafe(F.get(F.get(text, s["t"]), k))
+
+    def share(s: Column) -> Column:
+        agreeing = F.size(F.filter(F.get(others, s["t"]), lambda k: stands(s, k)))
+        verified = F.forall(F.get(phrases, s["t"]), lambda k: stands(s, k)) & (agreeing >= F.get(least, s["t"]))
+        return F.when(verified, F.struct(F.get(labels, s["t"]).alias("label"), (agreeing / F.size(F.get(others, s["t"]))).alias("share")))
+
+    return F.coalesce(F.array_compact(F.transform(starts, share)), F.array().cast("array<struct<label:string,share:double>>"))
