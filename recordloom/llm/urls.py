@@ -68,7 +68,36 @@ def plain(url: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("//"), host, F.regexp_replace(path, "/+$", ""), query))
 
 
-def stated_links(html: Column) -> Column:
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(path, "/")
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    return F.array_join(F.aggregate(closed, F.array().cast("array<string>"), step), "/")
+
+
+def resolved(link: Column, url: Column) -> Column:
+    """The absolute target of a link that a page states; null if it leads nowhere else."""
+    bare = F.trim(F.regexp_replace(link, "&(?:amp|#38|#[xX]26);", "&"))
+    scheme, site = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    own, query = path_of(url), F.regexp_extract(bare, r"(?s)([?#].*)$", 1)
+    path = F.regexp_extract(bare, r"^([^?#]*)", 1)
+    below = F.concat(F.when(own == "", "/").otherwise(F.regexp_replace(own, "[^/]*$", "")), path)
+    return (
+        F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), bare)
+        .when((site == "") | (bare == "") | bare.startswith("#") | bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(bare.startswith("//"), F.concat(scheme, bare))
+        .when(bare.startswith("/"), F.concat(site, _without_dots(path), query))
+        .when(bare.startswith("?"), F.concat(site, own, query))
+        .otherwise(F.concat(site, _without_dots(below), query))
+    )
+
+
+def stated_links(html: Column, url: Column) -> Column:
     """Absolute targets of a page's canonical links and refresh redirects, as an array."""
     text = F.coalesce(html, F.lit(""))
     tags = F.filter(F.regexp_extract_all(text, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\bcanonical\b|\brefresh\b"))
@@ -78,7 +107,7 @@ def stated_links(html: Column) -> Column:
             t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
         ),
     )
-    return F.filter(targets, lambda t: t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"))
+    return F.array_compact(F.transform(targets, lambda t: resolved(t, url)))
 
 
 def verdicts(
@@ -86,13 +115,13 @@ def verdicts(
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row of ``pages``.
 
-    ``redirects``, if given, has absolute URLs ``source`` and ``target``.  A null URL, or one
+    Links that pages state may be relative to their URL.  ``redirects``, if given, has absolute URLs ``source`` and ``target``.  A null URL, or one
     without ``://``, has empty host and path, no rule and no aliases, and is allowed; so is
     whatever nothing decides.  Null or repeated ids and repeated rows keep their rows; an
     empty table gives no rows; other columns are not read.
     """
     url = F.col("url")
-    read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), *([stated_links(F.col(html_col)).alias("links")] if html_col else []))
+    read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), *([stated_links(F.col(html_col), F.col(url_col)).alias("links")] if html_col else []))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = read.withColumns({"host": host_of(url), "path": path_of(url), "node": plain(url)})
     own = save(own.withColumns({"rule": name, "own": verdict}), "urls")
@@ -113,9 +142,10 @@ def verdicts(
         roots, votes = None, own_ruled.where("own is not null").withColumnRenamed("node", "root")
     # Allowed by any rule comes before blocked by any.
     decided = save(votes.groupBy("root").agg(F.min("own").alias("alias")).withColumnRenamed("root", "r"), "decided")
+    # Both may be as many as the pages: joined over shuffles, whatever they seem to hold.
     placed = own
     if roots is not None:
-        placed = own.join(roots, F.col("node") == F.col("n"), "left").withColumn("node", F.coalesce("root", "node"))
-    return placed.join(decided, F.col("node") == F.col("r"), "left").select(
+        placed = own.join(roots.hint("merge"), F.col("node") == F.col("n"), "left").withColumn("node", F.coalesce("root", "node"))
+    return placed.join(decided.hint("merge"), F.col("node") == F.col("r"), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("own", "alias", F.lit("allow")).alias("verdict")
     )
