@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import scalars as S
-from recordloom.operators import citations, entities, search, textquality, validate
+from recordloom.operators import citations, entities, index, search, textquality, validate
 from recordloom.plans.catalogue import query, values
 from recordloom.sources import files, html
-from recordloom.tables import table
+from recordloom.tables import spread, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> index.SearchIndex:
+    """The index of documents: their source as a title of weight 8, and their text."""
+    return index.opened(table(spark, sf_dir, "documents"), "doc_id", {"source": 8, "text": 1})
 
 
 @query(
@@ -29,7 +34,8 @@ def anti_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'stupid') OR len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'stupid'))) > 0"
 )
 def token_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match(_documents(spark, sf_dir), "stupid", "text").select("doc_id")
+    # The source's only token is no word of the query.
+    return index.match(spark, document_index(spark, sf_dir), "stupid")
 
 
 @query(
@@ -37,7 +43,7 @@ def token_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'from') AND len(list_filter(w, lambda x: starts_with(x, 'ti'))) > 0"""
 )
 def token_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match(_documents(spark, sf_dir), "the from ti", "text").select("doc_id")
+    return index.match(spark, document_index(spark, sf_dir), "the from ti")
 
 
 _BM25 = """t AS (SELECT doc_id, source, lang, regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS b FROM documents),
@@ -48,7 +54,7 @@ _BM25 = """t AS (SELECT doc_id, source, lang, regexp_extract_all(lower(source),
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.ranked(_documents(spark, sf_dir), "doc_id", {"title": ("source", 8.0), "body": ("text", 1.0)}, ["heed", "this"])
+    found = index.ranked(spark, document_index(spark, sf_dir), ["heed", "this"])
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -62,7 +68,7 @@ def bm25_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, source, score, nth, place, (SELECT COUNT(*) FROM k) > 20 AS truncated FROM k WHERE place <= 20"""
 )
 def top3_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _ranked(spark, sf_dir).join(_documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    hits = _ranked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     return search.capped(hits, "source", [F.desc("score"), F.asc("doc_id")]).select("doc_id", "source", "score", "nth", "place", "truncated")
 
 
@@ -71,7 +77,7 @@ def top3_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT gid, tier, score, matches FROM (SELECT gid, tier, MAX(score) AS score, ROW_NUMBER() OVER (PARTITION BY gid ORDER BY tier) AS k FROM m GROUP BY gid, tier) JOIN (SELECT gid, COUNT(*) AS matches FROM m GROUP BY gid) USING (gid) WHERE k = 1"""
 )
 def placement_filter_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = _documents(spark, sf_dir).select("doc_id", F.col("source").alias("gid"), F.when(F.col("lang") == "en", 1).otherwise(2).alias("tier"))
+    places = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("gid"), F.when(F.col("lang") == "en", 1).otherwise(2).alias("tier"))
     return search.grouped(_ranked(spark, sf_dir), places, "doc_id", "gid", "tier", "score")
 
 

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than there are: a small table of one row group.
+
+    A table that is large enough for every core is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings in their dockets: id, type, date, docket, family."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
