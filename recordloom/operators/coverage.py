@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators.ranges import previous, running_sum
+
 _SLICE = r"^([a-z_]+):(\d{4}-\d{2})(?:\[(\d{1,2})\.\.(\d{1,2})\])?$"
 
 
@@ -74,11 +76,13 @@ def covering(points: DataFrame, at: str, gaps: DataFrame, grace_hours: int = 3)
 def sessions(events: DataFrame, at: str, gap_minutes: int, late_hours: int) -> DataFrame:
     """Passes of events less than a gap apart; late if the pass before ended long ago.
 
-    One pass at a time is expected over the whole ledger, so the last step orders passes, not
-    events; passes are as few as the polls.
+    A pass belongs to the whole ledger, so events are ordered over ranges: a pass begins where
+    the event before is a gap away.
     """
-    passes = events.groupBy(F.session_window(F.col(at), f"{gap_minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last"))
-    before = F.lag("last").over(Window.orderBy("w.start"))
-    return passes.select(
-        F.col("w.start").alias("started"), "last", "n", F.coalesce(F.col("w.start") > before + F.expr(f"interval {late_hours} hours"), F.lit(False)).alias("late")
-    )
+    gap = F.expr(f"interval {gap_minutes} minutes")
+    begun = previous(events.select(F.col(at).alias("at")), [F.col("at")], "at", "before")
+    starts = begun.withColumn("_new", (F.col("before").isNull() | (F.col("at") - F.col("before") >= gap)).cast("long"))
+    numbered = running_sum(starts, [F.col("at"), F.desc("_new")], F.col("_new"), "pass")
+    passes = numbered.groupBy("pass").agg(F.min("at").alias("started"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("_new") == 1, F.col("before"))).alias("before"))
+    late = F.coalesce(F.col("started") > F.col("before") + F.expr(f"interval {late_hours} hours"), F.lit(False))
+    return passes.select("started", "last", "n", late.alias("late"))

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.storage import drop, save
 
 
-def successors(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+def successors(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``(origin, party, steps)``: what each party became, over edges ``(a, b)`` read as a before b.
 
-    Breadth first, each (origin, party) once at its fewest steps, so cycles end; ``most`` bounds
-    the rounds and is an error if a chain is longer.
+    Breadth first, each (origin, party) once at its fewest steps, so cycles end; as many rounds as
+    the longest chain has steps.
     """
     seen = save(start.select(F.col("party").alias("origin"), "party", F.lit(0).alias("steps")).distinct(), "successors")
     front = seen
-    for step in range(1, most + 1):
+    for step in count(1):
         ahead = front.join(edges, front["party"] == edges["a"]).select("origin", F.col("b").alias("party")).distinct()
         front_next = save(ahead.join(seen.select("origin", "party"), ["origin", "party"], "left_anti").withColumn("steps", F.lit(step)), "front")
         if front_next.isEmpty():
@@ -26,7 +28,6 @@ def successors(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
             drop(front)
         drop(seen)
         seen, front = grown, front_next
-    raise ValueError(f"a chain is longer than {most} steps")
 
 
 def outside(relations: DataFrame, reps: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators.ranges import running_sum
+
 
 def features(pages: DataFrame, column: str) -> DataFrame:
     """Lines, tokens, tokens a line, the median line, and shares of numeric and lettered tokens."""
@@ -34,9 +36,9 @@ def is_prose() -> Column:
 
 
 def lexicon(docs: DataFrame, key: str, column: str, least: int) -> DataFrame:
-    """Words that at least ``least`` documents hold."""
+    """Words that at least ``least`` documents hold; ``docs`` has a row for each."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit("[a-z]+"), F.lit(0)))
-    return docs.select(key, F.explode(words).alias("word")).groupBy("word").agg(F.countDistinct(key).alias("df")).where(F.col("df") >= least)
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
 
 
 def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
@@ -75,8 +77,8 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     From counts by score: pairs are never made.
     """
     by = df.groupBy(score).agg(F.count_if(F.col(positive)).alias("_p"), F.count_if(~F.col(positive)).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by.select("_p", "_q", (F.col("_p") * (below + F.col("_q") / 2.0)).alias("_w"))
+    upto = running_sum(by, [F.col(score)], F.col("_q"), "_below")
+    wins = upto.select("_p", "_q", (F.col("_p") * (F.col("_below") - F.col("_q") / 2.0)).alias("_w"))
     return wins.agg(F.round(F.sum("_w") / F.nullif(F.sum("_p") * F.sum("_q"), F.lit(0)), 6).alias("auc"))
 
 
@@ -95,21 +97,40 @@ def common_items(a: Column, b: Column) -> Column:
     )
 
 
+#: Short items that are looked for in every document, at most.
+SHORT_ITEMS = 1000
+
+
 def quoted(docs: DataFrame, doc_key: str, doc_text: Column, items: DataFrame, item_key: str, item_text: Column, block: int = 20) -> DataFrame:
     """Items found word for word in documents, both flattened.
 
     A document is cut into blocks of ``block`` characters.  Wherever an item of twice that length
     stands, it covers a whole block, which then is one of its own pieces at the first ``block``
-    offsets: a join on hashes finds the documents, and the whole item is checked.  Shorter
-    items are few, and are looked for in every document.
+    offsets: hashes are joined with ids alone, the texts of what that gives are fetched and the
+    whole item is checked.  A few shorter items are looked for in every document; more of them
+    are met by the hash of their first characters, as many as the shortest has.
     """
     quotes = items.select(F.col(item_key), item_text.alias("_q")).where(F.length("_q") > 0)
     long, short = quotes.where(F.length("_q") >= 2 * block), quotes.where(F.length("_q") < 2 * block)
     flat = docs.select(F.col(doc_key), doc_text.alias("_d"))
-    blocks = flat.select(doc_key, "_d", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_d", F.lit(f"(?s).{{{block}}}"), F.lit(0)), lambda x: F.xxhash64(x)))).alias("_k"))
-    pieces = long.select(item_key, "_q", F.explode(F.transform(F.sequence(F.lit(1), F.lit(block)), lambda i: F.xxhash64(F.substring("_q", i, F.lit(block))))).alias("_k")).distinct()
-    found = blocks.join(pieces, "_k").where(F.col("_d").contains(F.col("_q"))).select(doc_key, item_key)
-    if short.isEmpty():
-        return found.distinct()
-    rest = flat.join(F.broadcast(short), F.col("_d").contains(F.col("_q"))).select(doc_key, item_key)
+
+    def hashes(at: Column, n: int | Column) -> Column:
+        return F.transform(at, lambda i: F.xxhash64(F.substring("_d", i, n if isinstance(n, Column) else F.lit(n))))
+
+    def checked(keys: DataFrame, pieces: DataFrame) -> DataFrame:
+        pairs = keys.join(pieces, "_k").select(doc_key, item_key).distinct()
+        met = pairs.join(flat, doc_key).join(quotes, item_key)
+        return met.where(F.col("_d").contains(F.col("_q"))).select(doc_key, item_key).distinct()
+
+    blocks = flat.where(F.length("_d") >= block).select(doc_key, F.explode(F.array_distinct(hashes(F.sequence(F.lit(1), F.length("_d") - block + 1, F.lit(block)), block))).alias("_k"))
+    pieces = long.select(item_key, F.explode(F.transform(F.sequence(F.lit(1), F.lit(block)), lambda i: F.xxhash64(F.substring("_q", i, F.lit(block))))).alias("_k")).distinct()
+    found = checked(blocks, pieces)
+    n, least = short.agg(F.count(F.lit(1)), F.min(F.length("_q"))).first()
+    if not n:
+        return found
+    if n <= SHORT_ITEMS:
+        rest = flat.join(F.broadcast(short), F.col("_d").contains(F.col("_q"))).select(doc_key, item_key)
+    else:
+        grams = flat.where(F.length("_d") >= least).select(doc_key, F.explode(F.array_distinct(hashes(F.sequence(F.lit(1), F.length("_d") - least + 1), least))).alias("_k"))
+        rest = checked(grams, short.select(item_key, F.xxhash64(F.substring("_q", F.lit(1), F.lit(least))).alias("_k")))
     return found.union(rest).distinct()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import scalars as S
 from recordloom.operators import counting, folding, ledger
+from recordloom.operators.ranges import running_sum
 from recordloom.plans.catalogue import query
+from recordloom.storage import save
 from recordloom.tables import decision_copies, filings, observations, table
 
 _FILINGS = "SELECT o_orderkey AS filing_id, o_orderpriority AS filing_type, CAST(o_orderdate AS DATE) AS filed, c_custkey AS docket_id, c_nationkey AS family_id FROM orders JOIN customer ON o_custkey = c_custkey"
@@ -216,14 +218,19 @@ def semi_and_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     ON (c_custkey = sub OR c_nationkey = fam) AND o_orderkey > mark GROUP BY sub"""
 )
 def subscription_family_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The either-or join, as equality on the proceeding and on its family."""
-    subs = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("sub"), (50 * F.col("s_suppkey")).alias("mark"),
-        F.explode(F.array(F.struct(F.lit("docket").alias("k"), F.col("s_suppkey").cast("long").alias("v")), F.struct(F.lit("family").alias("k"), F.col("s_nationkey").cast("long").alias("v")))).alias("w"),
-    )
-    f = filings(spark, sf_dir).select("filing_id", F.explode(F.array(F.struct(F.lit("docket").alias("k"), F.col("docket_id").cast("long").alias("v")), F.struct(F.lit("family").alias("k"), F.col("family_id").cast("long").alias("v")))).alias("x"))
-    hits = f.join(subs, F.col("x") == F.col("w")).where("filing_id > mark")
-    return hits.groupBy("sub").agg(F.countDistinct("filing_id").alias("n"))
+    """The either-or join, each way by itself: of the family, how many entries come after a mark is the running
+    count at the family's end less that at the mark; of the proceeding, those that the family hasn't counted are joined."""
+    subs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("sub"), F.col("s_nationkey").alias("fam"), (50 * F.col("s_suppkey")).cast("long").alias("mark"))
+    f = filings(spark, sf_dir).select(F.col("filing_id").cast("long").alias("filing_id"), F.col("docket_id").cast("long").alias("docket_id"), F.col("family_id").alias("fam"))
+    nothing = F.lit(None).cast("long")
+    both = f.select("fam", F.col("filing_id").alias("at"), F.lit(1).alias("one"), nothing.alias("sub")).unionByName(subs.select("fam", F.col("mark").alias("at"), F.lit(0).alias("one"), "sub"))
+    # At a mark its own entry comes before it: only what is greater counts.
+    upto = save(running_sum(both, [F.col("fam"), F.col("at"), F.desc("one")], F.col("one"), "upto"), "fanout")
+    ends = upto.groupBy("fam").agg(F.max("upto").alias("end"))
+    of_family = upto.where("sub is not null").join(ends, "fam").select("sub", (F.col("end") - F.col("upto")).alias("n"))
+    own = f.join(subs.select("sub", F.col("fam").alias("sub_fam"), "mark"), F.col("docket_id") == F.col("sub")).where("filing_id > mark and fam <> sub_fam")
+    of_docket = own.groupBy("sub").agg(F.count(F.lit(1)).alias("n"))
+    return of_family.unionByName(of_docket).groupBy("sub").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 @query("SELECT l_orderkey AS decision_id, COUNT(DISTINCT l_suppkey) AS owners FROM lineitem GROUP BY 1 HAVING COUNT(DISTINCT l_suppkey) > 1")
