@@ -56,19 +56,23 @@ def _ranks(keys: DataFrame, name: str) -> DataFrame:
 
 
 def suffix_ranks(every: DataFrame, depth: int) -> list[DataFrame]:
-    """Tables ``(id, th, j, rank)`` of the suffixes that begin at repeated lines, one for each depth of 1,
-    2, 4, ... lines up to ``depth`` or more.  The first has ``idx`` and ``w`` too."""
+    """Tables ``(id, th, j, end, rank)`` of the suffixes that begin at repeated lines, one for each depth of 1,
+    2, 4, ... lines up to ``depth`` or more; a suffix ends with the last line, ``end``, before one that is not
+    repeated.  The first table has ``idx`` and ``w`` too."""
     repeated = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("key"))
     known = _ranks(repeated, "lineranks")
-    levels = [save(every.join(known, F.col("h") == F.col("key")).select("id", "th", "j", "idx", "w", "rank"), "suffixes")]
+    found = every.join(known, F.col("h") == F.col("key")).select("id", "th", "j", "idx", "w", "rank")
+    stretch = F.col("j") - F.dense_rank().over(Window.partitionBy("id", "th").orderBy("j"))
+    found = found.withColumn("stretch", stretch).withColumn("end", F.max("j").over(Window.partitionBy("id", "th", "stretch")))
+    levels = [save(found.drop("stretch"), "suffixes")]
     reach = 1
     while reach < depth:
-        ahead = Window.partitionBy("id", "th").orderBy("j").rangeBetween(reach, reach)
-        pairs = levels[-1].select("id", "th", "j", "rank", F.coalesce(F.first("rank").over(ahead), F.lit(-1)).alias("after"))
+        ahead = F.first("rank").over(Window.partitionBy("id", "th").orderBy("j").rangeBetween(reach, reach))
+        pairs = levels[-1].select("id", "th", "j", "end", "rank", F.when(F.col("j") + reach <= F.col("end"), ahead).otherwise(-1).alias("after"))
         pairs = save(pairs, "pairs")
         known = _ranks(pairs.select(F.col("rank").alias("a"), F.col("after").alias("b")).distinct(), "pairranks")
         found = pairs.withColumnRenamed("rank", "before").join(known, (F.col("before") == F.col("a")) & (F.col("after") == F.col("b")))
-        levels.append(save(found.select("id", "th", "j", "rank"), "suffixes"))
+        levels.append(save(found.select("id", "th", "j", "end", "rank"), "suffixes"))
         drop(pairs)
         drop(known)
         reach *= 2
