@@ -2,10 +2,45 @@
 
 from __future__ import annotations
 
+from recordloom.llm import licenses
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _licences() -> str:
+    """Every template tried at every place of every document, which is padded with empty words."""
+    templates, pad = licenses._templates(), 64
+
+    def word(start: str, at: int, value: str) -> str:
+        return f"p[{start} + {at}] = '{value}'"
+
+    shares = []
+    for t in templates:
+        phrase = " AND ".join(word("s", at + k, w) for at, ws in t.phrases for k, w in enumerate(ws))
+        counted = [k for k, w in enumerate(t.words) if w not in licenses._PLAIN]
+        agree = " + ".join(f"CAST({word('s', k, t.words[k])} AS INTEGER)" for k in counted)
+        need = min(licenses.MATCHES, len({t.words[k] for k in counted}))
+        held = f"list_contains(w, '{t.phrases[0][1][-1]}')"
+        shares.append(f"CASE WHEN {held} THEN list_max(list_transform(list_filter(range(1, len(p) - {len(t.words)} + 2), lambda s: {phrase} AND {agree} >= {need}), lambda s: ({agree}) / {len(counted)}.0)) END")
+    base = ", ".join(
+        "list_filter(range(1, len(p) - 3), lambda s: " + " AND ".join(word("s", k, w) for k, w in enumerate(phrase.split())) + ")" for phrase in licenses.BASE
+    )
+    names = ", ".join(f"CASE WHEN len(b[{n + 1}]) > 0 THEN '{label}' END" for n, label in enumerate(licenses.BASE.values()))
+    more = ", ".join(f"CASE WHEN t[{n + 1}] IS NOT NULL THEN '{t.label}' END" for n, t in enumerate(templates))
+
+    def joined(labels: str) -> str:
+        return f"array_to_string(list_sort(list_distinct(list_filter([{labels}], lambda x: x IS NOT NULL))), ',')"
+
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, list_concat(list_transform(range({pad}), lambda x: ''), w, list_transform(range({pad}), lambda x: '')) AS p FROM d),
+m AS (SELECT doc_id, len(w) AS n_words, [{base}] AS b, [{", ".join(shares)}] AS t FROM p)
+SELECT doc_id, n_words, len(flatten(b)) AS n_base, list_min(flatten(b)) - {pad + 1} AS first_word, list_max(flatten(b)) - {pad + 1} AS last_word, {joined(names)} AS base_labels, {joined(names + ", " + more)} AS labels,
+    CASE WHEN len(flatten(b)) > 0 THEN 1.0 ELSE coalesce(list_max(t), 0.0) END AS score FROM m"""
+
+
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, {_SPACED} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
@@ -60,6 +95,7 @@ o AS (SELECT a.doc_id, coalesce(string_agg(CASE WHEN g.idx IS NULL THEN line END
 SELECT doc_id, text, n_removed_lines FROM o"""
 
 SQL = {
+    "op1_license_scans": _licences(),
     "op3_quality_rules": QUALITY,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op9_url_filters": URLS,
