@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import LOWER, remainder, text_bytes
+from recordloom.llm.common import LOWER, let_go, parts, remainder, text_bytes
 from recordloom.storage import save
 
 ORDER = 4
@@ -46,9 +46,9 @@ START, END = 0xFE, 0xFF
 #: The token after a text's last word; no word holds a space.
 END_TOKEN = b" "
 #: Text that is scored or counted at once, in bytes.
-CHUNK = 1_500_000
+CHUNK = 500_000
 #: Words that a worker remembers, at most.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 def _key(word: bytes) -> int:
@@ -97,29 +97,31 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(kind, key, n)``: counts of words (kind 0, by hash) and of symbols in context (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, held = Counter(), [], 0
+        let_go()
+        words, pairs, held = Counter(), [], 0
 
         def told(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal words, parts, held
-            if words and (final or len(words) > 250_000):
+            nonlocal words, pairs, held
+            if words and (final or len(words) > 200_000):
                 yield _rows(0, np.fromiter(map(_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words)))
                 words = Counter()
-            if len(parts) > 1 and (final or held > 2_000_000):
-                parts = [_merge(parts)]
-                held = len(parts[0][0])
-            if parts and (final or held > 1_500_000):
-                yield _rows(1, *parts[0])
-                parts, held = [], 0
+            if len(pairs) > 1 and (final or held > 1_500_000):
+                pairs = [_merge(pairs)]
+                held = len(pairs[0][0])
+            if pairs and (final or held > 1_000_000):
+                yield _rows(1, *pairs[0])
+                pairs, held = [], 0
 
         for batch in batches:
-            texts = [t.translate(LOWER) for t in text_bytes(batch.column(0))]
-            for lo, hi in _chunks(texts):
-                for t in texts[lo:hi]:
-                    words.update(t.split())
-                words[END_TOKEN] += hi - lo
-                parts.append(np.unique(grams(texts[lo:hi])[0], return_counts=True))
-                held += len(parts[-1][0])
-                yield from told(False)
+            for part in parts(batch, 0):
+                texts = [t.translate(LOWER) for t in text_bytes(part.column(0))]
+                for lo, hi in _chunks(texts):
+                    for t in texts[lo:hi]:
+                        words.update(t.split())
+                    words[END_TOKEN] += hi - lo
+                    pairs.append(np.unique(grams(texts[lo:hi])[0], return_counts=True))
+                    held += len(pairs[-1][0])
+                    yield from told(False)
         yield from told(True)
 
     found = docs.select(F.col(text_col)).mapInArrow(run, "kind int, key long, n long")
@@ -321,11 +323,13 @@ def _score(docs: DataFrame, model: Told, id_col: str, text_col: str) -> DataFram
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         own = told.value
         known: dict[bytes, float] = {}
         number = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            texts = [t.translate(LOWER) for t in text_bytes(batch.column(1))]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 4)
+        for part in (part for batch in batches for part in parts(batch, 1)):
+            texts = [t.translate(LOWER) for t in text_bytes(part.column(1))]
             rows = []
             for lo, hi in _chunks(texts):
                 code, begin = grams(texts[lo:hi])
@@ -334,6 +338,7 @@ def _score(docs: DataFrame, model: Told, id_col: str, text_col: str) -> DataFram
                 odd = np.flatnonzero(pair < 0)
                 cuts = np.append(np.searchsorted(odd, begin), len(odd)).tolist()
                 odd = code[odd]
+                del code, pair
                 cut = [[*t.split(), END_TOKEN] for t in texts[lo:hi]]
                 if len(known) > REMEMBERED:
                     known.clear()
@@ -352,10 +357,9 @@ def _score(docs: DataFrame, model: Told, id_col: str, text_col: str) -> DataFram
                     codes, n = np.unique(odd[a:b], return_counts=True)
                     rows.append((number, len(line), len(line) - len(rare), float(logs[logs >= 0].sum()), s, list(many), list(many.values()), codes, n))
                     number += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 4)
             columns = zip(*rows) if rows else ((),) * 9
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                [part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 ["id", "row", "n_tokens", "n_known", "logs", "score", "rare", "times", "odd", "odd_times"],
             )
 
@@ -392,10 +396,10 @@ def language_model_scores(
     told = Told(Lookup.of(common.column("key").to_numpy()), common.column("value").to_numpy(), keys[by], np.log10(n[by] + 1.0))
     scored = save(_score(docs, told, id_col, text_col), "scored")
 
-    def parts(kind: int, key: str, times: str) -> DataFrame:
+    def met_later(kind: int, key: str, times: str) -> DataFrame:
         return scored.select("row", F.inline(F.arrays_zip(F.col(key).alias("key"), F.col(times).alias("times")))).select("row", F.lit(kind).alias("kind"), "key", "times")
 
-    rare = parts(0, "rare", "times").unionByName(parts(1, "odd", "odd_times"))
+    rare = met_later(0, "rare", "times").unionByName(met_later(1, "odd", "odd_times"))
     unseen = rare.where("kind = 1").select("key").distinct().join(lengths.where(F.col("n") < least_pair), "key", "left_anti")
     values = [
         words.where(F.col("n") < least).select(F.lit(0).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value")),

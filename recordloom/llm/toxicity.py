@@ -6,8 +6,9 @@ the log ratio of the n-gram's document rates under both labels, and a logistic r
 is fitted on the scaled values.  Being linear, a document's logit is the sum of its distinct
 words' logits, so scoring looks each word up once and never builds a feature vector.
 
-Fitting uses a bounded sample of the labelled rows, ``SAMPLE`` of each label, taken in the
-order of a hash of the id.  Everything else covers all rows.
+Fitting uses a bounded sample of the labelled rows, ``SAMPLE`` of each label and
+``SAMPLE_BYTES`` of text in all, taken in the order of a hash of the id; an id that several
+documents have gives one of them.  Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -21,20 +22,22 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from recordloom.llm.common import remainder
+from recordloom.llm.common import let_go, names, parts, remainder
 
 #: Labelled rows of each label that fitting uses at most.
 SAMPLE = 2000
+#: Bytes of text that fitting uses at most, half of them of each label; texts are whole.
+SAMPLE_BYTES = 64_000_000
 #: Features, a power of two.
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 THRESHOLD = 0.7
-#: Words whose logits a worker remembers before it forgets them all.
-REMEMBERED = 400_000
+#: Words whose logits a worker remembers before it forgets those that it hasn't met since it last forgot some.
+REMEMBERED = 150_000
 _SUPPORT, _LEAST_RATIO, _STEPS, _DECAY = 4, 0.4, 150, 2e-4
 
 
@@ -102,18 +105,21 @@ def fit(rows: list[tuple[str | None, int]], rates: tuple[float, float] | None =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[list, tuple[float, float] | None]:
-    """At most ``sample`` rows of each label, and both labels' shares among all allowed ones."""
+    """At most ``sample`` texts of each label, ``SAMPLE_BYTES`` in all, and both labels' shares among all allowed ones."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & allowed).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")
     )
     counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     order = F.xxhash64("_id")
-    chosen = [marks.where(F.col("_y") == y).orderBy(order, "_id").limit(sample) for y in (0, 1)]
+    chosen = [marks.where(F.col("_y") == y).distinct().orderBy(order, "_id").limit(sample) for y in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows of two numbers at most
     rows = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t")).join(picked, F.col("_k") == F.col("_id"))
-    got = [(r["_t"], r["_y"]) for r in rows.select("_k", "_t", "_y").orderBy("_k", "_y", "_t").collect()]
-    return got, (counts.get(1, 0) / total, counts.get(0, 0) / total) if total else None
+    # An id that several rows have teaches with one of its texts.
+    one = rows.groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
+    upto = F.sum(F.coalesce(F.octet_length("_t"), F.lit(0))).over(Window.partitionBy("_y").orderBy(F.xxhash64("_k"), "_k"))
+    got = one.withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_BYTES // 2).select("_k", "_t", "_y").orderBy("_k", "_y").collect()
+    return [(r["_t"], r["_y"]) for r in got], (counts.get(1, 0) / total, counts.get(0, 0) / total) if total else None
 
 
 def train(
@@ -132,38 +138,41 @@ class Scorer:
     """Scores of texts; remembers the logits of words."""
 
     def __init__(self, model: Model) -> None:
-        self.bias, self.weights, self.known = model.bias, model.weights.tolist(), {}
+        self.bias, self.weights, self.known, self.older = model.bias, model.weights.tolist(), {}, {}
 
     def _logit(self, word: str) -> float:
-        value = sum(self.weights[k] for k in features_of(word))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        value = self.older.get(word)
+        if value is None:
+            value = sum(self.weights[k] for k in features_of(word))
         self.known[word] = value
         return value
 
     def __call__(self, text: str | None) -> float:
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
         known, new = self.known.get, self._logit
         # fsum: the same sum in whatever order a set yields its words
         logit = self.bias + math.fsum([x if (x := known(w)) is not None else new(w) for w in words_of(text)])
         return 1 / (1 + math.exp(-logit)) if logit > -700 else 0.0
 
 
-def scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", least: float | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score``; of rows that score below ``least`` only, if given."""
+def scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", least: float | None = None, score_col: str = "_score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and ``score_col``; of rows that score below ``least`` only, if given."""
     told = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(dict.fromkeys([*keep, text_col]))
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         score = None
         for batch in batches:
             score = score or Scorer(told.value)
-            found = pa.array([score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], [*keep, "_score"])
-            yield out if least is None else out.filter(pc.less(found, least))
-
+            for part in parts(batch, at):
+                found = pa.array([score(t) for t in part.column(at).to_pylist()], pa.float64())
+                out = pa.RecordBatch.from_arrays([*part.columns[: len(keep)], found], [*keep, score_col])
+                yield out if least is None else out.filter(pc.less(found, least))
 
-    schema = StructType([*(docs.schema[k] for k in keep), StructField("_score", DoubleType())])
+    schema = StructType([*(docs.schema[k] for k in keep), StructField(score_col, DoubleType())])
     return docs.select(*columns).mapInArrow(run, schema)
 
 
@@ -187,6 +196,6 @@ def toxicity(
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
-    """``docs`` without the documents that score ``threshold`` or more."""
+    """``docs`` without the documents that score ``threshold`` or more, whatever other columns they have."""
     model = train(docs, labels, remainder(F.col("doc_id"), folds) != held, text_col=text_col)
-    return scores(docs, model, docs.columns, text_col, least=threshold).drop("_score")
+    return scores(docs, model, docs.columns, text_col, threshold, *names(docs, "score")).select(*docs.columns)
