@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.tables import spread
+
 #: Bytes that are upper-case ASCII letters, lowered; all others as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The same, and every byte that belongs to no word (of letters, digits and non-ASCII) is a space.
@@ -22,7 +24,9 @@ WORD_BYTES = bytes(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts are dealt over all cores if their files give fewer tasks."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def remainder(doc_id: Column, n: int) -> Column:
