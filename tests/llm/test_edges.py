@@ -69,6 +69,58 @@ def test_stages_return_the_columns_they_got(spark, labels, benchmark):
     assert linededup.dedup_lines(docs).columns == [*docs.columns, "_n_gone"]
 
 
+CLASHING = "_h _id _th _gone _m _new _gaps _found _score _n_gone _entities _k _t _y id th fp place runs head row TEXT_ _H rank idx".split()
+
+
+def test_no_name_of_a_column_clashes(spark, labels, benchmark):
+    """Whatever other columns are called, they come through as they are."""
+    from pyspark.sql import functions as F
+
+    docs = awkward(spark)
+    names, seen = [], {c.lower() for c in docs.columns}
+    for n in CLASHING:
+        if n.lower() not in seen:
+            names.append(n)
+            seen.add(n.lower())
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in names])
+    stages = {
+        "toxic": toxicity.remove_toxic(docs, labels), "near": neardup.keep_one_per_class(docs), "contaminated": decontam.remove_contaminated(docs, benchmark),
+        "lines": linededup.dedup_lines(docs).drop("_n_gone"), "pii": pii.pseudonymize(docs, "k").drop("_entities"),
+    }
+    for name, stage in stages.items():
+        own = [n for n in names if n not in {"lines": ["_n_gone"], "pii": ["_entities"]}.get(name, [])]
+        rows = stage.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[n] == f"{n}-{'null' if r['doc_id'] is None else r['doc_id']}" for n in own), (name, r["doc_id"])
+
+
+def test_a_text_of_its_own_stays_whatever_its_id(spark):
+    a, b = "one two three four five six seven eight nine ten", "something else entirely is said in this text of mine"
+    df = spark.createDataFrame([(1, a), (3, a), (3, b), (3, b), (None, a), (None, "x y z of no other")], "doc_id long, text string")
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in neardup.keep_one_per_class(df).collect())
+    assert got == [(False, 1, a), (False, 3, b), (True, None, "x y z of no other")]
+
+
+@pytest.mark.parametrize("what", ["awkward", "empty", "small"])
+def test_the_whole_pipeline(spark, labels, benchmark, tmp_path, what):
+    import corpus_pipeline
+
+    where = str(tmp_path)
+    if what == "small":
+        where = "/root/testdata/sf0.001"
+    else:
+        (awkward(spark) if what == "awkward" else empty(spark)).write.parquet(f"{where}/documents.parquet")
+        labels.write.parquet(f"{where}/labels.parquet")
+        benchmark.write.parquet(f"{where}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, where)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    n = got.count()
+    assert (n == 0) if what == "empty" else n > 3
+    full = got.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count()
+    assert full == 0
+
+
 def test_stages_on_nothing(spark, labels, benchmark):
     docs = empty(spark)
     for stage in (toxicity.remove_toxic(docs, labels), neardup.keep_one_per_class(docs), decontam.remove_contaminated(docs, benchmark), linededup.dedup_lines(docs)):

@@ -5,14 +5,16 @@ import hashlib
 import math
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, SMALL
-from recordloom.llm import decontam, licenses, linededup, lm, neardup, packing, pii, quality, toxicity, urls
+from recordloom.llm import common, decontam, licenses, linededup, lm, neardup, packing, pii, quality, toxicity, urls
 from recordloom.llm.queries import tokenizer_path
 
 
@@ -56,8 +58,59 @@ def test_licence_texts_and_their_parts(spark):
         assert (label in got[k].split(",")) if label else got[k] == "", (rows[k], got[k])
 
 
+def test_labels_by_looking_everywhere(spark):
+    rng = random.Random(4)
+    texts_ = [t for ts in licenses.TEMPLATES.values() for t, _ in ts]
+    rows = []
+    for _ in range(300):
+        w = " ".join(rng.choice(texts_) for _ in range(rng.randint(1, 3))).split()[rng.randint(0, 8) :] or ["a"]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(["x", "license", "the", "mit"])
+        rows.append(" ".join(w))
+    rows.append("copy " * 3000 + "software permission to use copy modify")
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(rows):
+        w = licenses.words_of(text)
+        base = {label for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()}
+        labels, share = set(base), 0.0
+        for t in licenses._templates():
+            counted = [j for j, x in enumerate(t.words) if x not in licenses._PLAIN]
+            for start in range(-len(t.words), len(w)):
+                if all(0 <= start + at and w[start + at : start + at + len(p)] == p for at, p in t.phrases):
+                    agree = sum(0 <= start + j < len(w) and w[start + j] == t.words[j] for j in counted)
+                    if agree >= min(licenses.MATCHES, len({t.words[j] for j in counted})):
+                        labels.add(t.label)
+                        share = max(share, agree / len(counted))
+        assert got[k]["labels"] == ",".join(sorted(labels)), text
+        assert got[k]["score"] == pytest.approx(1.0 if base else share)
+
+
 # ------------------------------------------------ toxicity
 
+def test_scores_are_those_of_whole_feature_vectors(spark):
+    """By the definition: counts of hashed n-grams over the distinct words, times the weights."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(vocabulary[:40] if k % 2 else vocabulary[20:]) for _ in range(30))) for k in range(80)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    own = toxicity.fit([(t, k % 2) for k, t in rows[:60] if zlib.crc32(str(k).encode()) % 3 != 1])
+    assert np.allclose(np.sort(model.weights), np.sort(own.weights), atol=0.2)  # the rows' order and rates are the only difference
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    for k, text in [*rows, (900, None), (901, "")]:
+        counts = collections.Counter(b for word in set((text or "").lower().split()) for b in toxicity.features_of(word))
+        logit = model.bias + sum(n * float(model.weights[b]) for b, n in counts.items())
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6)
+
+
+def test_a_repeated_id_teaches_once(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 50 + [(2, "bad words there")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, toxic int")
+    rows, rates = toxicity.labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "toxic", 10)
+    assert rows == [("good words here", 0), ("bad words there", 1)] and rates == (1 / 3, 2 / 3)
+
+
 def test_held_out_toxicity(spark):
     docs, labels = frame(spark, "documents", DATA), frame(spark, "labels", DATA)
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
@@ -204,6 +257,15 @@ def test_probabilities_add_up():
         assert (10.0 ** lm.code_lengths(codes, trie)).sum() == pytest.approx(1)
 
 
+def test_parts_of_a_batch():
+    texts = ["a" * 400, None, "b" * 700, "", "c" * 5000, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["k", "t"])
+    cut = list(common.parts(batch, 1, 1000))
+    assert [x for p in cut for x in p.column(0).to_pylist()] == list(range(6)) and len(cut) > 2
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 1000 for p in cut)
+    assert len(list(common.parts(batch.slice(0, 0), 1))) == 1
+
+
 def test_pruned_model_is_closed(spark):
     whole = lm.language_model_scores(frame(spark, "documents"), edges=3000).toPandas()
     assert (whole["score"] < 0).all() and np.isfinite(whole["score"]).all()
@@ -245,13 +307,26 @@ def test_shard_against_scan(window):
                         owners.add(str(key))
         got = {k for b, e in zip(found.stretches[::2], found.stretches[1::2]) for k in range(b, e)}
         assert (found.n_words, got, found.items) == (len(w), hit, sorted(owners))
+        best = None
+        for key, text in items:
+            q = text.split()
+            for at in range(len(w)):
+                for there in range(len(q)):
+                    n = 0
+                    while at + n < len(w) and there + n < len(q) and w[at + n] == q[there + n]:
+                        n += 1
+                    # Only matches of a window or more count: of as many words, or of the whole item.
+                    begins = not (at and there and w[at - 1] == q[there - 1])
+                    if n and n >= min(window, len(q)) and begins:
+                        best = min(best or (-n, at, str(key), there), (-n, at, str(key), there))
+        assert (best or (0, None, None, None)) == (-found.longest, found.place, found.item, found.item_place)
 
 
 def test_several_passes_agree(spark, monkeypatch):
     docs, bench = frame(spark, "documents"), frame(spark, "benchmark")
-    one = decontam.contamination(docs, bench).drop("longest_match")
+    one = decontam.contamination(docs, bench)
     monkeypatch.setattr(decontam, "BENCHMARK_BYTES", 3000)
-    many = decontam.contamination(docs, bench).drop("longest_match")
+    many = decontam.contamination(docs, bench)
     assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0
 
 
@@ -301,6 +376,43 @@ def test_no_value_is_kept_whatever_its_script_and_length(spark):
     assert got[3]["text"].endswith(".com") and all("\u3400" <= c <= "\U0002ffff" for c in got[3]["text"][:2])
 
 
+def test_surrogates_of_many_values(spark):
+    """Against the whole table of values: distinct stay distinct, none stays, kinds and formats stay."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(valid):
+        head = "4" + digits(14)
+        total = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(head)))
+        return head + str((-total + (0 if valid else rng.randint(1, 9))) % 10)
+
+    names_ = [f"{g} {s}" for g in pii.FEMALE["latin"] + pii.MALE["latin"] for s in ("Parker", "Mary", "Ann")]
+    values = [card(k % 2) for k in range(300)] + names_ + [f"Dr {a}{b}{c}" for a in "AJM" for b in "aou" for c in "abcdefghijklmnopqrstuvwxyz"]
+    values += ["password: " + "".join(rng.choice("abcdef0123456789") for _ in range(rng.choice([32, 40]))) for _ in range(60)] + [f"key = {w}" for w in ("deadbeef", "feedface", "zzzzzzzz", "cafebabe", "abcdefgh")]
+    values += ["AKIA" + "".join(rng.choice("ABCDEFGH0123") for _ in range(16)) for _ in range(30)] + [f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}" for _ in range(30)]
+    values = list(dict.fromkeys(values))
+    rows = [(k, v) for k, v in enumerate(values)] + [(len(values) + k, f"again {v}") for k, v in enumerate(values)]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    new = [got[k]["text"] for k in range(len(values))]
+    assert all(got[k]["_entities"] for k in range(len(values)))
+    assert len(set(new)) == len(values) and not [v for v, n in zip(values, new) if v == n]
+    assert all(got[len(values) + k]["text"] == f"again {n}" for k, n in enumerate(new))  # coreference
+    for old, n in zip(values, new):
+        assert re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", n))) == re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", old))) or ":" in old or "=" in old or old[:2] in ("AK", "DE") or old.split()[0] in names_[0].split()[:1] + pii.FEMALE["latin"] + pii.MALE["latin"]
+        assert not old.startswith("AKIA") or n.startswith("AKIA")
+        assert not old.startswith("DE") or n.startswith("DE")
+        if old[0] == "4":
+            luhn = [sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(x))) % 10 for x in (old, n)]
+            assert (luhn[0] == 0) == (luhn[1] == 0)
+
+
+@pytest.mark.parametrize("text", ["password: --------", "key = ==========", "Mr Šš called", "Dr Հայկ wrote to us"])
+def test_nothing_in_a_text_ends_the_query(spark, text):
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    a, b = pii.pseudonymize(df, "k").orderBy("doc_id").collect()
+    assert a["text"] == b["text"] and len(a["text"]) == len(text) and (a["text"] != text or not a["_entities"])
+
+
 def test_plain_text_is_left(spark):
     for text in ("version 1.2.3, 555 apples", "The Mark of May 2024-05-06 at 10:30", "pages 12-34 and 3.14159", ""):
         df = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -318,6 +430,26 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_behind_any_character():
+    ours = packing.WordIds(tokenizer_path())
+    chars = [chr(c) for c in range(1, 0x3200) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x3200, 0x110000, 401) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(1)
+    pool = list("abcZ .,;'-\n\t İıßΣςéñü中文हिأب́ǅﬁ½²٣_<|>\x01\x1c\xa0\x85 ſK")
+    texts_ = [p.replace("@", c) for p in ("D@, b", "a@. b @\n") for c in chars] + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(60000)]
+    for k in range(0, len(texts_), 20000):
+        some = texts_[k : k + 20000]
+        theirs = ours.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        assert not [t for t, raw, x in zip(some, ours(some), theirs) if np.frombuffer(raw, "<u4").tolist() != x.ids]
+
+
+def test_equal_rows_have_places_of_their_own(spark):
+    df = spark.createDataFrame([(1, "the same row")] * 3000 + [(2, "another")], "doc_id long, text string")
+    got = packing.pack_documents(df, tokenizer_path()).toPandas()
+    assert len(got) == 3001 and len(got[["sequence_id", "offset"]].drop_duplicates()) == 3001
+    for _, rows in got.sort_values("offset").groupby("sequence_id"):
+        assert rows["offset"].tolist() == [0, *rows["length"].cumsum().tolist()[:-1]] and rows["length"].sum() <= 2048
+
+
 def test_packing_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -372,8 +504,91 @@ def test_decisions_follow_links(spark):
     assert got[6] == "block"
 
 
+def test_links_are_resolved_as_browsers_do(spark):
+    pages = ["http://a.net/x/y?z#f", "https://b.com", "http://b.com/d/", "http://a.net/x"]
+    links = ["/new", "../x", "//h.org/p", "q.html", "?a=1&amp;b=2", "./", "..", "http://c.com/de/", "a/../b/./c", "../../../z", "mailto:x@y", "#f", ""]
+    df = spark.createDataFrame([(p, x) for p in pages for x in links], "p string, x string")
+    for r in df.select("p", "x", urls.resolved(F.col("x"), F.col("p")).alias("t")).collect():
+        assert r["t"] == (None if r["x"] in ("mailto:x@y", "#f", "") else urllib.parse.urljoin(r["p"], r["x"].replace("&amp;", "&"))), r
+
+
+def test_decisions_by_walking_all_links(spark):
+    rng = random.Random(6)
+    hosts, paths = ["a.net", "b.net", "www.a.net", "x.org", "y.com", "sub.example.org"], ["/de/p", "/fr/q", "/en/1", "/es/", "/z", ""]
+    every = [f"http://{h}{p}" for h in hosts for p in paths]
+    rows = [(k, u, f'<link rel="canonical" href="{rng.choice([rng.choice(every), rng.choice(paths) or "/", "//" + rng.choice(hosts) + "/z"])}">' if rng.random() < 0.4 else "") for k, u in enumerate(every * 2)]
+    moved = [(rng.choice(every), rng.choice(every)) for _ in range(12)]
+    plain = lambda u: re.sub(r"^https?://(www\.)?", "", u).rstrip("/")
+
+    def ruled(u):
+        host, path = re.match(r"https?://([^/]*)(.*)", u).groups()
+        fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.host + r.path)).verdict if fits else None
+
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    said = {}
+    links = [(u, urllib.parse.urljoin(u, re.search('href="([^"]*)', h)[1])) for _, u, h in rows if h] + moved
+    for a, b in links:
+        parent[root(plain(a))] = root(plain(b))
+    for u in [*every, *(b for _, b in links)]:
+        said.setdefault(root(plain(u)), set()).add(ruled(u))
+    got = urls.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(moved, "source string, target string")).collect()
+    for r in got:
+        u = rows[r["page_id"]][1]
+        votes = said[root(plain(u))]
+        assert r["verdict"] == (ruled(u) or ("allow" if "allow" in votes else "block" if "block" in votes else "allow")), u
+
+
 # ------------------------------------------------ line runs
 
+def test_ranks_order_suffixes(spark):
+    """Ranks to a depth are the order of the suffixes' first lines, ties alike; the end of a sequence comes first."""
+    rng = random.Random(3)
+    docs = [(d, "\n".join(rng.choice(["a", "b", "c d", f"only {d} {k}"]) for k in range(rng.randint(1, 30)))) for d in range(30)]
+    every = linededup.lines(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    told = every.collect()
+    number = collections.Counter(r["h"] for r in told)
+    at = {(r["id"], r["j"]): r["h"] for r in told if number[r["h"]] > 1}
+
+    def suffix(d, j, depth):
+        out = []
+        while len(out) < depth and (d, j) in at:
+            out.append(at[d, j])
+            j += 1
+        return tuple(out)
+
+    for k, level in enumerate(linededup.suffix_ranks(every, 8)):
+        rank = {(r["id"], r["j"]): r["rank"] for r in level.collect()}
+        assert rank.keys() == at.keys()
+        keys = sorted(rank, key=lambda x: (rank[x], x))
+        assert [suffix(*x, 1 << k) for x in keys] == sorted(suffix(*x, 1 << k) for x in keys)
+        assert len({(rank[x], suffix(*x, 1 << k)) for x in keys}) == len(set(rank.values())) == len({suffix(*x, 1 << k) for x in keys})
+
+
+def test_runs_are_maximal(spark):
+    rng = random.Random(9)
+    passage = "\n".join(f"line {k} of a passage that is said twice" for k in range(70))
+    docs = [(1, "first\n" + passage + "\nend"), (2, "second of them\n" + passage + "\nanother end"), (3, passage.split("\n")[5] + "\n" + "\n".join(passage.split("\n")[30:40])), (4, " ".join(rng.choice("xyz") for _ in range(40)))]
+    got = {r["id"]: [(x["first"], x["last"]) for x in r["runs"]] for r in linededup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {2: [(1, 70)], 3: [(1, 10)]}
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_ids_of_any_type_and_texts_under_one_id(spark, kind):
+    text = "\n".join(f"line {k} has these words and some more of them" for k in range(4))
+    docs = [("1", text), ("1", "x\n" + text), ("2", text), ("2", text), (None, text)]
+    df = spark.createDataFrame(docs, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    left = sorted(len((r["text"] or "").split()) for r in linededup.dedup_lines(df).collect())
+    assert left == [0, 0, 0, 1, len(text.split())]
+
+
+
 def brute_lines(docs, least):
     def windows(seq):
         for a in range(len(seq)):
