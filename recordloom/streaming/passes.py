@@ -38,13 +38,13 @@ def folded_days(counters: DataFrame, hour: str, by: list[str], cutoff: Column) -
     return counters.groupBy(start.alias("start"), grain.alias("grain"), *by).agg(F.sum("n").alias("n"))
 
 
-def polling_passes(events: DataFrame, at: str, gap: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions of captures: a pass ends when nothing follows within the gap."""
+def polling_passes(events: DataFrame, at: str, by: list[str], gap: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
+    """Sessions of a source's captures: a pass ends when nothing follows within the gap."""
     return (
         events.withWatermark(at, delay)
-        .groupBy(F.session_window(at, gap).alias("w"))
+        .groupBy(F.session_window(at, gap).alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
+        .select(*by, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
     )
 
 
