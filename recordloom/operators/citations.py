@@ -52,7 +52,7 @@ def normal_key(raw: str | None) -> str | None:
     return found[0][3] if found else None
 
 
-_FINDING = "document string, page long, key string, kind string, occurrences long, first_start long, quoted string"
+_FINDING = "document {0}, page long, key string, kind string, occurrences long, first_start long, quoted string"
 
 
 def find_citations(pages: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def find_citations(pages: DataFrame) -> DataFrame:
                     rows.append((r.document, r.page, key, kind, len(at), at[0][0], lines[0].strip()))
             yield pd.DataFrame(rows, columns=["document", "page", "key", "kind", "occurrences", "first_start", "quoted"])
 
-    return pages.select("document", "page", "text", "own").mapInPandas(run, _FINDING)
+    return pages.select("document", "page", "text", "own").mapInPandas(run, _FINDING.format(pages.schema["document"].dataType.simpleString()))
 
 
 def resolve(keys: DataFrame, registry: DataFrame) -> DataFrame:
