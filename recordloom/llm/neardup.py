@@ -11,6 +11,12 @@ the range join over neighbouring grid points is an equality join on cells.  Of t
 cells that a pair shares, only the first may report it, and it does so once the Manhattan
 bound and then the exact Hamming distance hold.
 
+That finds fingerprints at a few bits.  Texts whose sets of word shingles have a Jaccard
+similarity of 0.8 differ in ten bits on average, which no grid parts from the rest; so a
+search by similarity (:func:`similar_classes`) takes the grid's links as candidates, and as
+further ones texts that share one of their least shingle hashes, at a wide Hamming bound.
+All are verified exactly, on the whole texts.
+
 Fingerprints are made distinct before that, so groups of equal copies cost one row.
 Cells that hold more than ``CELL_ROWS`` fingerprints are dealt into blocks; each pair of
 blocks is one bounded task, which returns a spanning forest of its links rather than the
@@ -37,6 +43,10 @@ from recordloom.storage import save
 CELL_ROWS = 128
 #: Rows of a block.
 BLOCK_ROWS = 1024
+#: Least shingle hashes of a text by which similar ones are found, and differing bits that those may have.
+SKETCH, WIDE = 12, 20
+#: Of texts that share such a hash, if they are many, those that each of them is compared with.
+CENTERS = 8
 _SLABS_EQUAL = 3
 _BITS = np.array([[b >> k & 1 for k in range(8)] for b in range(256)], np.int64)
 _EVEN = 0x5555555555555555
@@ -198,15 +208,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3) -> DataFrame:
+def _shingles(text: bytes, words: int) -> list[bytes]:
+    w = text.translate(LOWER).split()
+    return [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[k:] for k in range(words)))))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, size: int = SKETCH) -> DataFrame:
+    """``(id, th, fp, n, sketch)`` of each row: its place, fingerprint, how many different shingles, the least hashes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        digest = xxhash.xxh64_intdigest
+        for part in (part for batch in batches for part in parts(batch, 1)):
+            fps, counts, least = [], [], []
+            for text in text_bytes(part.column(1)):
+                joined = _shingles(text, words)
+                hashes = np.array([digest(s, 42) for s in joined], np.uint64)
+                votes = np.concatenate([np.bincount(hashes.view(np.uint8).reshape(-1, 8)[:, j], minlength=256) @ _BITS for j in range(8)])
+                bits = np.packbits(votes * 2 > len(joined), bitorder="little").view(np.uint64)[0]
+                fps.append(bits if joined != [b""] else 0)
+                known = np.unique(hashes)
+                counts.append(len(known))
+                least.append(known[:size].view(np.int64))
+            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(counts, pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["id", "th", "fp", "n", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(run, f"id {kind}, th long, fp long, n long, sketch array<long>")
+
+
+def candidate_pairs(nodes: DataFrame, similarity: float, distance: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(a, b)``, pairs of texts ``th`` of the table ``(th, fp, n, sketch)`` that may be similar.
+
+    Of texts that share a least hash, all pairs within the bounds if they are few.  If they are
+    many, each is paired with ``CENTERS`` of them, other ones for each hash: texts that are similar to
+    one another then meet in them or in the hashes that fewer share, and texts that share a common
+    passage only cost a row for each center.  And what the grid on fingerprints links.
+    """
+    cells = nodes.select(F.explode("sketch").alias("h"), "th", "fp", "n")
+    sizes = save(cells.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sketches")
+    shared = save(cells.join(sizes, "h"), "insketch")
+
+    def near(x: str, y: str) -> Column:
+        bits = F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp")))
+        return (bits <= WIDE) & (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (F.col(f"{x}.th") != F.col(f"{y}.th"))
+
+    few, many = shared.where(F.col("m") <= cell_rows), shared.where(F.col("m") > cell_rows)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("y.th") < F.col("x.th")) & near("x", "y")).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"))
+    text = F.struct("th", "fp", "n")
+    chosen = many.groupBy(F.col("h").alias("of")).agg(F.array(*[F.min_by(text, F.xxhash64("th", "h", F.lit(k))) for k in range(CENTERS)]).alias("centers"))
+    met = many.join(save(chosen, "centers"), F.col("h") == F.col("of")).select(text.alias("x"), F.explode(F.array_distinct("centers")).alias("y"))
+    through = met.where(near("x", "y")).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"))
+    first = save(nodes.groupBy("fp").agg(F.min("th").alias("least")), "fingerprints")
+    links = fingerprint_links(first.select("fp"), distance)
+    named = links.join(first.select(F.col("fp").alias("a"), F.col("least").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("q")), "b")
+    alike = nodes.join(first, "fp").where("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b"))
+    every = pairs.unionByName(through).unionByName(alike).unionByName(named.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs ``(a, b)``, those whose texts ``(th, text)`` have a Jaccard similarity of shingles that is high enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for part in (part for batch in batches for part in parts(batch, 2)):
+            one, two = (map(lambda t: set(_shingles(t, words)), text_bytes(part.column(k))) for k in (2, 3))
+            ok = [len(p & q) >= similarity * len(p | q) for p, q in zip(one, two)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    met = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("p")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("q")), "b")
+    return met.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, distance: int = 3) -> DataFrame:
+    """``(th, head)`` of each different text: the place of the document that stands for its class, over links of texts
+    whose sets of ``words``-word shingles (lower-cased, as :func:`simhash` cuts them) are similar."""
+    own = save(sketches(docs, id_col, text_col, words), "sketch")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    nodes = save(own.groupBy("th").agg(F.min(place).alias("head"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "texts")
+    pairs = save(candidate_pairs(nodes.select("th", "fp", "n", "sketch"), similarity, distance), "candidates")
+    asked = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct().join(nodes.select("th", "head.id"), "th")
+    own_id, own_th, th = names(docs, "id", "th", "h")
+    hashed = docs.select(F.col(id_col).alias(own_id), _text_hash(text_col).alias(th), F.col(text_col).alias("text"))
+    # One document stands for a text's copies, so its place is one row.
+    at = asked.select(F.col("id").alias("asked_id"), F.col("th").alias("asked_th"))
+    texts = hashed.join(at, F.col(own_id).eqNullSafe(F.col("asked_id")) & (F.col(th) == F.col("asked_th")), "left_semi")
+    texts = save(texts.select(F.col(th).alias("th"), "text").dropDuplicates(["th"]), "asked")
+    links = save(verified_links(pairs, texts, words, similarity), "links")
+    roots = save(connected_components(links), "roots")
+    placed = nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "head", F.coalesce("root", "th").alias("root"))
+    return placed.join(placed.groupBy("root").agg(F.min("head").alias("first")), "root").select("th", F.col("first").alias("head"))
+
+
+def keep_one_per_class(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3, similarity: float | None = None
+) -> DataFrame:
     """``docs`` without all but one document of each class; the one with the least id stays.
 
+    Classes are those of fingerprints, or with ``similarity`` those of texts that are that similar.
+
     Rows are told apart by id and text (by a hash of it; null and empty texts are alike), so
     a text of its own stays whatever other rows share its id.  Of rows that share both one
     stays.  Null ids come after all others.  An empty table gives no rows; other columns stay.
     """
     own_id, own_th, th = names(docs, "id", "th", "h")
-    _, classes = _classes(docs, id_col, text_col, words, distance)
+    classes = similar_classes(docs, id_col, text_col, words, similarity, distance) if similarity else _classes(docs, id_col, text_col, words, distance)[1]
     heads = classes.select("head").distinct().select(F.col("head.id").alias(own_id), F.col("head.th").alias(own_th))
     hashed = docs.withColumn(th, _text_hash(text_col))
     kept = hashed.join(heads, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th)), "left_semi")
