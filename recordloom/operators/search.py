@@ -1,4 +1,4 @@
-"""Full-text search over DataFrames: postings, AND matches, weighted BM25, snippets, caps."""
+"""Full-text search in a row: tokens, AND matches, snippets; hits capped and grouped.  Ranked search is in ``index``."""
 
 from __future__ import annotations
 
@@ -23,15 +23,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """``(key, field, token, tf)``; counted within a task before the shuffle."""
-    parts = [docs.select(F.col(key), F.lit(name).alias("field"), F.explode(tokens(F.col(column))).alias("token")) for name, column in fields.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    return every.groupBy(key, "field", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def match(docs: DataFrame, text: str, column: str) -> DataFrame:
     """Documents that hold every token of the query, the last as a prefix.
 
@@ -49,34 +40,6 @@ def match(docs: DataFrame, text: str, column: str) -> DataFrame:
     return docs.where(hit)
 
 
-def ranked(docs: DataFrame, key: str, fields: dict[str, tuple[str, float]], words: list[str]) -> DataFrame:
-    """``(key, score)`` of documents that hold all words, by Okapi BM25 over weighted fields.
-
-    Document frequencies and the mean length are those of the whole index, whatever is
-    filtered later.  Only the query's words are counted: a row for each document, no postings
-    of other words.
-    """
-    words = [w.lower() for w in dict.fromkeys(words)]
-    # A projection that isn't deterministic isn't merged with the next: texts are cut into tokens once.
-    cut = {f"_t{n}": F.when(F.monotonically_increasing_id() >= 0, tokens(F.col(column))) for n, (column, _) in enumerate(fields.values())}
-    docs = docs.select(key, *[c.alias(name) for name, c in cut.items()])
-    had = {name: F.col(f"_t{n}") for n, name in enumerate(fields)}
-    length = sum((F.size(h) for h in had.values()), F.lit(0))
-    tf = [sum((weight * F.size(F.filter(had[name], lambda t: t == w)) for name, (_, weight) in fields.items()), F.lit(0.0)) for w in words]
-    per = docs.select(key, length.alias("_len"), F.array(*tf).alias("_tf"))
-    stats = per.agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.count_if(F.get("_tf", F.lit(k)) > 0) for k in range(len(words))]).alias("_df")
-    )
-    joined = per.where(F.array_min("_tf") > 0).join(F.broadcast(stats))  # one row of statistics
-
-    def part(k: int) -> Column:
-        df, f = F.get("_df", F.lit(k)), F.get("_tf", F.lit(k))
-        idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5) + 1)
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-
-    return joined.select(key, sum((part(k) for k in range(len(words))), F.lit(0.0)).alias("score"))
-
-
 def snippet(text: Column, word: str, width: int = 18) -> Column:
     """Up to ``width`` words around the first match, the match in brackets; null without one."""
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")

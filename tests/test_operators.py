@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import scalars as S
-from recordloom.operators import citations, components, counting, entities, ledger, search, textquality
+from recordloom.operators import citations, components, counting, coverage, duties, entities, evidence, index, ledger, ranges, search, textquality
 from recordloom.sources import files, html
 
 
@@ -143,3 +143,97 @@ def test_media_types(spark):
     df = spark.createDataFrame([(bytearray(b"%PDF-1.7"), "a"), (bytearray(b"PK\x03\x04...."), "a.docx"), (bytearray(b"??"), "a")], "c binary, p string")
     got = [r[0] for r in df.select(files.media_type(F.col("c"), F.col("p"))).collect()]
     assert got[0] == "application/pdf" and got[1].endswith("document") and got[2] == "application/octet-stream"
+
+
+# ------------------------------------------------ orders over ranges
+
+def test_running_sums_and_neighbours_over_ranges(spark):
+    rows = [(k * 7919 % 1000, k % 13) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    told = sorted(rows)
+    sums, at = {}, 0
+    for k, v in told:
+        at += v
+        sums[k] = at
+    assert {r["k"]: r["upto"] for r in ranges.running_sum(df, [F.col("k")], F.col("v"), "upto").collect()} == sums
+    before = {b[0]: a[1] for a, b in zip(told, told[1:])}
+    assert {r["k"]: r["was"] for r in ranges.previous(df, [F.col("k")], "v", "was").collect()} == before | {told[0][0]: None}
+    assert ranges.running_sum(df.limit(0), [F.col("k")], F.col("v"), "upto").count() == 0
+
+
+def test_sessions_are_those_of_one_task(spark):
+    base = datetime.datetime(2024, 1, 1)
+    at = [base + datetime.timedelta(minutes=m) for m in (0, 5, 14, 29, 60, 61, 500)]
+    got = coverage.sessions(spark.createDataFrame([(a,) for a in at], "ts timestamp_ntz"), "ts", 15, 3).orderBy("started").collect()
+    assert [(r["started"], r["n"], r["late"]) for r in got] == [(at[0], 3, False), (at[3], 1, False), (at[4], 2, False), (at[6], 1, True)]
+
+
+# ------------------------------------------------ the index on disk
+
+def _found(spark, opened, text):
+    return sorted(r[0] for r in index.match(spark, opened, text).collect())
+
+
+def test_index_follows_its_files(spark, tmp_path):
+    where = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(1, "Alpha beta", "x"), (2, "beta gamma", "alpha"), (3, None, None)], "k long, a string, b string").write.parquet(where)
+    docs = spark.read.parquet(where)
+    one = index.opened(docs, "k", {"b": 8, "a": 1})
+    assert index.opened(docs, "k", {"b": 8, "a": 1}).path == one.path != index.opened(docs, "k", {"a": 1}).path
+    assert (_found(spark, one, "beta alp"), _found(spark, one, "gam"), _found(spark, one, "delta"), _found(spark, one, "")) == ([1, 2], [2], [], [])
+    scores = {r["k"]: r["score"] for r in index.ranked(spark, one, ["alpha"]).collect()}
+    assert scores.keys() == {1, 2} and scores[2] > scores[1]
+    assert one.rows(spark).count() == 3
+    spark.createDataFrame([(4, "delta", "y")], "k long, a string, b string").write.mode("append").parquet(where)
+    two = index.opened(spark.read.parquet(where), "k", {"b": 8, "a": 1})
+    assert two.path != one.path and _found(spark, two, "delta") == [4]
+
+
+def test_rows_enter_and_leave_an_index(spark, tmp_path):
+    live = index.SearchIndex(str(tmp_path / "i"), "k", (("a", 1),))
+    docs = spark.createDataFrame([(1, "one word"), (2, "two words"), (3, "three")], "k long, a string")
+    index.add(live, docs, 0)
+    index.changed(live, spark.createDataFrame([(1, "another text")], "k long, a string"), docs.where("k = 3"), 1)
+    assert (_found(spark, live, "word"), _found(spark, live, "another te"), _found(spark, live, "three")) == ([2], [1], [])
+    index.changed(live, spark.createDataFrame([(3, "three again")], "k long, a string"), None, 2)
+    assert _found(spark, live, "three") == [3] and live.rows(spark).count() == 3
+
+
+# ------------------------------------------------ evidence and duties
+
+def test_dates_belong_to_the_number_before_them(spark):
+    lines = [
+        "See EP 445, slip op. at 3 (STB served Mar. 12, 2021); see also FD 36873.", "See FD  36873 (served Mar. 12, 2021)", "FD 36873. Compare Railway Case (served May 1, 2002)",
+        "FD 36873 (Sub-No. 1) (served May 1, 2002)", "FD 368 (served May 1, 2002)", "FD 36873 (served May 1, 2002) and FD 36873 (served May 2, 2002)",
+    ]
+    got = column(spark, lambda c: evidence.served_beside(c, F.lit("FD 36873")), *lines)
+    assert got == [None, "Mar. 12, 2021", None, "May 1, 2002", None, None]
+
+
+def test_numbers_are_shown_short(spark):
+    df = spark.createDataFrame([(float(v),) for v in (0, 12, 999.6, 1284, 250000, 2500000, 123456789)], "v double")
+    assert [r[0] for r in df.select(evidence.compact(F.col("v"))).collect()] == ["0", "12", "1.0K", "1.3K", "250K", "2.5M", "123M"]
+    tops = spark.createDataFrame([(float(v),) for v in (0, 3, 17, 95, 1001)], "v double")
+    assert [r[0] for r in tops.select(evidence.axis_top(F.col("v"))).collect()] == [1.0, 4.0, 20.0, 100.0, 2000.0]
+
+
+def test_keys_fused_with_a_footnote(spark):
+    df = spark.createDataFrame([("FD 340071", ["FD 34007"]), ("FD 34007", ["FD 34007"]), ("FD 340081", ["FD 34007"]), ("FD 340071", ["FD 340071", "FD 34007"]), (None, ["FD 1"])], "k string, own array<string>")
+    assert [r[0] for r in df.select(evidence.own_key(F.col("k"), F.col("own"))).collect()] == ["FD 34007", "FD 34007", "FD 340081", "FD 340071", None]
+
+
+def test_paging_ends(spark):
+    rows = [(1, 50, False, 50, 70), (1, 0, True, 0, 70), (2, 20, False, 70, 70), (2, 0, True, 70, 70), (2, 0, True, 50, 70)]
+    df = spark.createDataFrame(rows, "page int, n int, envelope boolean, seen int, total int")
+    assert [r[0] for r in df.select(duties.paging_end(F.col("page"), F.col("n"), F.col("envelope"), 50, F.col("seen"), F.col("total"))).collect()] == ["next", "trap", "end", "end", "retry"]
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_quotations_of_any_length(spark, monkeypatch, few):
+    monkeypatch.setattr(textquality, "SHORT_ITEMS", few)
+    text = "".join(chr(97 + k * k % 26) for k in range(4000))
+    docs = spark.createDataFrame([(1, text), (2, text[:50]), (3, "")], "d long, t string")
+    items = [(k, text[k * 31 : k * 31 + n]) for k, n in enumerate((3, 8, 39, 40, 45, 200))] + [(99, "~~~")]
+    quotes = spark.createDataFrame(items, "i long, q string")
+    got = {(r["d"], r["i"]) for r in textquality.quoted(docs, "d", F.col("t"), quotes, "i", F.col("q")).collect()}
+    assert got == {(d, i) for d, t in ((1, text), (2, text[:50])) for i, q in items if q in t}
