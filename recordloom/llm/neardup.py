@@ -227,7 +227,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, size: int
                 votes = np.concatenate([np.bincount(hashes.view(np.uint8).reshape(-1, 8)[:, j], minlength=256) @ _BITS for j in range(8)])
                 bits = np.packbits(votes * 2 > len(joined), bitorder="little").view(np.uint64)[0]
                 fps.append(bits if joined != [b""] else 0)
-                known = np.unique(hashes)
+                known = np.sort(hashes)
+                known = known[np.concatenate([[True], known[1:] != known[:-1]])]
                 counts.append(len(known))
                 least.append(known[:size].view(np.int64))
             columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(counts, pa.int64()), pa.array(least, pa.list_(pa.int64()))]
