@@ -14,8 +14,6 @@ documents have gives one of them.  Everything else covers all rows.
 from __future__ import annotations
 
 import math
-import zlib
-from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,6 +36,8 @@ SIZES = (3, 4, 5)
 THRESHOLD = 0.7
 #: Words whose logits a worker remembers before it forgets those that it hasn't met since it last forgot some.
 REMEMBERED = 150_000
+#: Odd constants that an n-gram's code points are hashed with.
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SUPPORT, _LEAST_RATIO, _STEPS, _DECAY = 4, 0.4, 150, 2e-4
 
 
@@ -46,11 +46,25 @@ class Model(NamedTuple):
     weights: np.ndarray  # of each bucket, the ratio times what was fitted
 
 
-def features_of(word: str) -> list[int]:
-    """Buckets of a word's n-grams, each once."""
-    edged = f"<{word}>"
-    found = {edged[k : k + n] for n in SIZES for k in range(max(1, len(edged) - n + 1))}
-    return list({zlib.crc32(g.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for g in found})
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words and buckets of their n-grams, each bucket once for a word, in order."""
+    edged = [f"<{w}>" for w in words]
+    code = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, edged), np.int64, len(edged))
+    number, end = np.repeat(np.arange(len(edged)), size), np.repeat(np.cumsum(size), size)
+    found = []
+    for n in SIZES:
+        if len(code) < n:
+            continue
+        h = np.full(len(code) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = h * _FACTOR + code[k : len(code) - n + 1 + k]
+        h = (h ^ (h >> np.uint64(29))) * _MIX
+        inside = np.arange(len(h)) + n <= end[: len(h)]
+        found.append(number[: len(h)][inside] * BUCKETS + (h[inside] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))
+    every = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    every = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
+    return every // BUCKETS, every % BUCKETS
 
 
 def words_of(text: str | None) -> set[str]:
@@ -64,21 +78,12 @@ def fit(rows: list[tuple[str | None, int]], rates: tuple[float, float] | None =
     if not ones or not zeros:  # one label only: its share, smoothed, whatever the text
         share = (ones + 1) / (len(labels) + 2)
         return Model(math.log(share / (1 - share)), np.zeros(BUCKETS, np.float32))
-    known: dict[str, array] = {}
     bags, seen, with_one = [], np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for (text, _), label in zip(rows, labels):
-        bag = array("i")
-        for word in words_of(text):
-            if word not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                known[word] = array("i", features_of(word))
-            bag.extend(known[word])
-        at, n = np.unique(np.frombuffer(bag, np.int32), return_counts=True)
+        at, n = np.unique(features(list(words_of(text)))[1].astype(np.int32), return_counts=True)
         bags.append((at, n.astype(np.float32)))
         seen[at] += 1
         with_one[at] += int(label)
-    known.clear()
     ratio = np.log((with_one + 1) / (ones + 2)) - np.log((seen - with_one + 1) / (zeros + 2))
     ratio[(seen < _SUPPORT) | (np.abs(ratio) < _LEAST_RATIO)] = 0
     bags = [(at[keep], n[keep]) for at, n in bags for keep in (ratio[at] != 0,)]
@@ -138,22 +143,27 @@ class Scorer:
     """Scores of texts; remembers the logits of words."""
 
     def __init__(self, model: Model) -> None:
-        self.bias, self.weights, self.known, self.older = model.bias, model.weights.tolist(), {}, {}
+        self.bias, self.weights, self.known, self.older = model.bias, model.weights.astype(np.float64), {}, {}
 
-    def _logit(self, word: str) -> float:
-        value = self.older.get(word)
-        if value is None:
-            value = sum(self.weights[k] for k in features_of(word))
-        self.known[word] = value
-        return value
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            number, bucket = features(some)
+            self.known.update(zip(some, np.bincount(number, self.weights[bucket], len(some)).tolist()))
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, texts: list[str | None]) -> list[float]:
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
-        known, new = self.known.get, self._logit
+        known, lines, missing = self.known, list(map(words_of, texts)), []
+        for w in set().union(*lines).difference(known):
+            if (value := self.older.get(w)) is None:
+                missing.append(w)
+            else:
+                known[w] = value
+        self._learn(missing)
         # fsum: the same sum in whatever order a set yields its words
-        logit = self.bias + math.fsum([x if (x := known(w)) is not None else new(w) for w in words_of(text)])
-        return 1 / (1 + math.exp(-logit)) if logit > -700 else 0.0
+        logits = [self.bias + math.fsum(map(known.__getitem__, line)) for line in lines]
+        return [1 / (1 + math.exp(-x)) if x > -700 else 0.0 for x in logits]
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", least: float | None = None, score_col: str = "_score") -> DataFrame:
@@ -168,7 +178,7 @@ def scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
         for batch in batches:
             score = score or Scorer(told.value)
             for part in parts(batch, at):
-                found = pa.array([score(t) for t in part.column(at).to_pylist()], pa.float64())
+                found = pa.array(score(part.column(at).to_pylist()), pa.float64())
                 out = pa.RecordBatch.from_arrays([*part.columns[: len(keep)], found], [*keep, score_col])
                 yield out if least is None else out.filter(pc.less(found, least))
 

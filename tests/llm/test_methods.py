@@ -99,11 +99,23 @@ def test_scores_are_those_of_whole_feature_vectors(spark):
     assert np.allclose(np.sort(model.weights), np.sort(own.weights), atol=0.2)  # the rows' order and rates are the only difference
     got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
     for k, text in [*rows, (900, None), (901, "")]:
-        counts = collections.Counter(b for word in set((text or "").lower().split()) for b in toxicity.features_of(word))
+        counts = collections.Counter(b for word in set((text or "").lower().split()) for b in set(toxicity.features([word])[1].tolist()))
         logit = model.bias + sum(n * float(model.weights[b]) for b, n in counts.items())
         assert got[k] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6)
 
 
+def test_features_are_those_of_ngrams():
+    """As many buckets as there are different n-grams of 3 to 5 characters, alike in any company."""
+    words = ["", "a", "abab", "ünïcode", "x" * 40, "\U0001f600k", "ab"]
+    number, bucket = toxicity.features(words)
+    for k, w in enumerate(words):
+        grams = {f"<{w}>"[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 2 - n + 1)}
+        own = bucket[number == k]
+        assert len(own) == len(set(own.tolist())) == len(grams), w
+        assert own.tolist() == toxicity.features([w])[1].tolist()
+    assert len(toxicity.features([])[0]) == 0
+
+
 def test_a_repeated_id_teaches_once(spark):
     docs = spark.createDataFrame([(1, "good words here")] * 50 + [(2, "bad words there")] * 3, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, toxic int")
