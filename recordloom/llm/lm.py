@@ -342,7 +342,7 @@ def _score(docs: DataFrame, model: Told, id_col: str, text_col: str) -> DataFram
                 cut = [[*t.split(), END_TOKEN] for t in texts[lo:hi]]
                 if len(known) > REMEMBERED:
                     known.clear()
-                new = list({w for line in cut for w in line if w not in known})
+                new = list(set().union(*cut).difference(known))
                 keys = np.fromiter(map(_key, new), np.int64, len(new))
                 at = np.searchsorted(own.keys, keys)
                 hit = np.zeros(len(new), bool)
