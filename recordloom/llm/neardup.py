@@ -15,7 +15,8 @@ That finds fingerprints at a few bits.  Texts whose sets of word shingles have a
 similarity of 0.8 differ in ten bits on average, which no grid parts from the rest; so a
 search by similarity (:func:`similar_classes`) takes the grid's links as candidates, and as
 further ones texts that share one of their least shingle hashes, at a wide Hamming bound.
-All are verified exactly, on the whole texts.
+They are verified exactly, on the whole texts: each text's nearest first, then whatever
+would still join two classes.
 
 Fingerprints are made distinct before that, so groups of equal copies cost one row.
 Cells that hold more than ``CELL_ROWS`` fingerprints are dealt into blocks; each pair of
@@ -32,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import LOWER, let_go, names, parts, text_bytes
@@ -47,6 +48,8 @@ BLOCK_ROWS = 1024
 SKETCH, WIDE = 12, 20
 #: Of texts that share such a hash, if they are many, those that each of them is compared with.
 CENTERS = 8
+#: A text's nearest candidates, which are verified first.
+NEAREST = 4
 _SLABS_EQUAL = 3
 _BITS = np.array([[b >> k & 1 for k in range(8)] for b in range(256)], np.int64)
 _EVEN = 0x5555555555555555
@@ -239,7 +242,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, size: int
 
 
 def candidate_pairs(nodes: DataFrame, similarity: float, distance: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``(a, b)``, pairs of texts ``th`` of the table ``(th, fp, n, sketch)`` that may be similar.
+    """``(a, b, bits)``, pairs of texts ``th`` of the table ``(th, fp, n, sketch)`` that may be similar, and by how many
+    bits their fingerprints differ.
 
     Of texts that share a least hash, all pairs within the bounds if they are few.  If they are
     many, each is paired with ``CENTERS`` of them, other ones for each hash: texts that are similar to
@@ -250,23 +254,25 @@ def candidate_pairs(nodes: DataFrame, similarity: float, distance: int = 3, cell
     sizes = save(cells.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sketches")
     shared = save(cells.join(sizes, "h"), "insketch")
 
+    def bits(x: str, y: str) -> Column:
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))).alias("bits")
+
     def near(x: str, y: str) -> Column:
-        bits = F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp")))
-        return (bits <= WIDE) & (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (F.col(f"{x}.th") != F.col(f"{y}.th"))
+        return (bits(f"{x}.fp", f"{y}.fp") <= WIDE) & (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (F.col(f"{x}.th") != F.col(f"{y}.th"))
 
     few, many = shared.where(F.col("m") <= cell_rows), shared.where(F.col("m") > cell_rows)
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("y.th") < F.col("x.th")) & near("x", "y")).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"))
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("y.th") < F.col("x.th")) & near("x", "y")).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"), bits("x.fp", "y.fp"))
     text = F.struct("th", "fp", "n")
     chosen = many.groupBy(F.col("h").alias("of")).agg(F.array(*[F.min_by(text, F.xxhash64("th", "h", F.lit(k))) for k in range(CENTERS)]).alias("centers"))
     met = many.join(save(chosen, "centers"), F.col("h") == F.col("of")).select(text.alias("x"), F.explode(F.array_distinct("centers")).alias("y"))
-    through = met.where(near("x", "y")).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"))
+    through = met.where(near("x", "y")).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"), bits("x.fp", "y.fp"))
     first = save(nodes.groupBy("fp").agg(F.min("th").alias("least")), "fingerprints")
     links = fingerprint_links(first.select("fp"), distance)
-    named = links.join(first.select(F.col("fp").alias("a"), F.col("least").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("q")), "b")
-    alike = nodes.join(first, "fp").where("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b"))
-    every = pairs.unionByName(through).unionByName(alike).unionByName(named.select(F.col("p").alias("a"), F.col("q").alias("b")))
-    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    named = links.withColumn("bits", bits("a", "b")).join(first.select(F.col("fp").alias("a"), F.col("least").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("q")), "b")
+    alike = nodes.join(first, "fp").where("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b"), F.lit(0).alias("bits"))
+    every = pairs.unionByName(through).unionByName(alike).unionByName(named.select(F.col("p").alias("a"), F.col("q").alias("b"), "bits"))
+    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "bits").distinct()
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -289,7 +295,8 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, sim
     own = save(sketches(docs, id_col, text_col, words), "sketch")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     nodes = save(own.groupBy("th").agg(F.min(place).alias("head"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "texts")
-    pairs = save(candidate_pairs(nodes.select("th", "fp", "n", "sketch"), similarity, distance), "candidates")
+    pairs = candidate_pairs(nodes.select("th", "fp", "n", "sketch"), similarity, distance)
+    pairs = save(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))), "candidates")
     asked = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct().join(nodes.select("th", "head.id"), "th")
     own_id, own_th, th = names(docs, "id", "th", "h")
     hashed = docs.select(F.col(id_col).alias(own_id), _text_hash(text_col).alias(th), F.col(text_col).alias("text"))
@@ -297,8 +304,16 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, sim
     at = asked.select(F.col("id").alias("asked_id"), F.col("th").alias("asked_th"))
     texts = hashed.join(at, F.col(own_id).eqNullSafe(F.col("asked_id")) & (F.col(th) == F.col("asked_th")), "left_semi")
     texts = save(texts.select(F.col(th).alias("th"), "text").dropDuplicates(["th"]), "asked")
-    links = save(verified_links(pairs, texts, words, similarity), "links")
+    links = save(verified_links(pairs.where(F.col("nth") <= NEAREST), texts, words, similarity), "links")
     roots = save(connected_components(links), "roots")
+    # Of the other candidates those that are not of one class yet.
+    rest = pairs.where(F.col("nth") > NEAREST)
+    for end in ("a", "b"):
+        known = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        rest = rest.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    rest = save(rest.where("root_a <> root_b").select("a", "b"), "candidates")
+    if not rest.isEmpty():
+        roots = save(connected_components(links.unionByName(verified_links(rest, texts, words, similarity))), "roots")
     placed = nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "head", F.coalesce("root", "th").alias("root"))
     return placed.join(placed.groupBy("root").agg(F.min("head").alias("first")), "root").select("th", F.col("first").alias("head"))
 

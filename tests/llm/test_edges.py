@@ -84,7 +84,7 @@ def test_no_name_of_a_column_clashes(spark, labels, benchmark):
             seen.add(n.lower())
     docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in names])
     stages = {
-        "toxic": toxicity.remove_toxic(docs, labels), "near": neardup.keep_one_per_class(docs), "contaminated": decontam.remove_contaminated(docs, benchmark),
+        "toxic": toxicity.remove_toxic(docs, labels), "near": neardup.keep_one_per_class(docs), "similar": neardup.keep_one_per_class(docs, words=5, similarity=0.8), "contaminated": decontam.remove_contaminated(docs, benchmark),
         "lines": linededup.dedup_lines(docs).drop("_n_gone"), "pii": pii.pseudonymize(docs, "k").drop("_entities"),
     }
     for name, stage in stages.items():
@@ -98,8 +98,9 @@ def test_no_name_of_a_column_clashes(spark, labels, benchmark):
 def test_a_text_of_its_own_stays_whatever_its_id(spark):
     a, b = "one two three four five six seven eight nine ten", "something else entirely is said in this text of mine"
     df = spark.createDataFrame([(1, a), (3, a), (3, b), (3, b), (None, a), (None, "x y z of no other")], "doc_id long, text string")
-    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in neardup.keep_one_per_class(df).collect())
-    assert got == [(False, 1, a), (False, 3, b), (True, None, "x y z of no other")]
+    for stage in (neardup.keep_one_per_class(df), neardup.keep_one_per_class(df, words=5, similarity=0.8)):
+        got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in stage.collect())
+        assert got == [(False, 1, a), (False, 3, b), (True, None, "x y z of no other")]
 
 
 @pytest.mark.parametrize("what", ["awkward", "empty", "small"])

@@ -1,6 +1,7 @@
 """Operators against brute force."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -214,6 +215,33 @@ def test_classes_of_documents(spark):
     assert neardup.keep_one_per_class(frame(spark, "documents")).count() == len(set(label))
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_similar_texts_by_brute_force(spark, monkeypatch, crowded):
+    """One text of each class of five-word shingle sets that are alike by 0.8, linked through others or not."""
+    rng = random.Random(12)
+    common = " ".join(f"shared{k}" for k in range(30))
+    rows = ["", " ", "one two", "ONE two", "one two three"]
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(8, 150))] + (common.split() if rng.random() < 0.5 else [])
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(words)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(99)}"
+            rows.append(" ".join(copy))
+    if crowded:
+        monkeypatch.setattr(neardup, "candidate_pairs", functools.partial(neardup.candidate_pairs, cell_rows=4))
+        monkeypatch.setattr(neardup, "NEAREST", 1)
+    sets = [set(neardup._shingles(t.encode(), 5)) for t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    got = neardup.keep_one_per_class(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), words=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
+
+
 # ------------------------------------------------ language model
 
 def test_scores_by_simulation(spark):
