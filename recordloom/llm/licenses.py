@@ -197,7 +197,7 @@ def _base_places(words: Column) -> Column:
 
 
 def _starts(words: Column, postings: dict[str, list[tuple[int, int, int]]]) -> Column:
-    """Templates and starts on which all postings of the template agree."""
+    """Templates and starts on which all postings of the template agree; null without an indexed word."""
     held = F.create_map(
         *[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(n).alias("n")) for t, p, n in ps]))]
     )
@@ -206,7 +206,8 @@ def _starts(words: Column, postings: dict[str, list[tuple[int, int, int]]]) -> C
         F.transform(indexed, lambda x: F.transform(F.element_at(held, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("start"), p["n"].alias("n"))))
     )
     # A posting gives a start once, so a start that n of them give follows itself n - 1 times.
-    return F.transform(F.array(F.sort_array(given)), lambda all_: F.filter(all_, lambda x, k: x.eqNullSafe(F.get(all_, k + x["n"] - 1))))[0]
+    agreed = F.transform(F.array(F.sort_array(given)), lambda all_: F.filter(all_, lambda x, k: x.eqNullSafe(F.get(all_, k + x["n"] - 1))))[0]
+    return F.when(F.arrays_overlap(words, _strings(sorted(postings))), agreed)
 
 
 def _matches(words: Column, starts: Column) -> Column:
