@@ -26,6 +26,7 @@ links.  No cell, link or partner is left out.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import LOWER, let_go, names, parts, text_bytes
+from recordloom.llm.common import LOWER, let_go, names, once, parts, spaced_words, text_bytes
 from recordloom.operators.components import connected_components
 from recordloom.storage import save
 
@@ -275,23 +276,27 @@ def candidate_pairs(nodes: DataFrame, similarity: float, distance: int = 3, cell
     return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "bits").distinct()
 
 
-def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs ``(a, b)``, those whose texts ``(th, text)`` have a Jaccard similarity of shingles that is high enough."""
+def _shingle_hashes(text: Column, words: int) -> Column:
+    """Hashes of the different shingles of a text, as :func:`simhash` cuts them."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+
+    def cut(w: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)]))
+        return F.when(F.size(w) < words, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array_distinct(windows))
+
+    return F.transform(F.array(once(spaced_words(low))), cut)[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for part in (part for batch in batches for part in parts(batch, 2)):
-            one, two = (map(lambda t: set(_shingles(t, words)), text_bytes(part.column(k))) for k in (2, 3))
-            ok = [len(p & q) >= similarity * len(p | q) for p, q in zip(one, two)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    met = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("p")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("q")), "b")
-    return met.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+def verified_links(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs ``(a, b)``, those whose sets of shingles, in the table ``(th, s)``, have a Jaccard similarity that is high enough."""
+    met = pairs.join(shingles.select(F.col("th").alias("a"), F.col("s").alias("p")), "a").join(shingles.select(F.col("th").alias("b"), F.col("s").alias("q")), "b")
+    both = F.size(F.array_intersect("p", "q"))
+    return met.select("a", "b", F.size("p").alias("m"), F.size("q").alias("n"), once(both).alias("both")).where(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, distance: int = 3) -> DataFrame:
     """``(th, head)`` of each different text: the place of the document that stands for its class, over links of texts
-    whose sets of ``words``-word shingles (lower-cased, as :func:`simhash` cuts them) are similar."""
+    whose sets of ``words``-word shingles (lower-cased, as :func:`simhash` cuts them, compared by 64-bit hash) are similar."""
     own = save(sketches(docs, id_col, text_col, words), "sketch")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     nodes = save(own.groupBy("th").agg(F.min(place).alias("head"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "texts")
@@ -303,8 +308,9 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, sim
     # One document stands for a text's copies, so its place is one row.
     at = asked.select(F.col("id").alias("asked_id"), F.col("th").alias("asked_th"))
     texts = hashed.join(at, F.col(own_id).eqNullSafe(F.col("asked_id")) & (F.col(th) == F.col("asked_th")), "left_semi")
-    texts = save(texts.select(F.col(th).alias("th"), "text").dropDuplicates(["th"]), "asked")
-    links = save(verified_links(pairs.where(F.col("nth") <= NEAREST), texts, words, similarity), "links")
+    shingles = texts.groupBy(F.col(th).alias("th")).agg(F.any_value("text").alias("text")).select("th", _shingle_hashes(F.col("text"), words).alias("s"))
+    shingles = save(shingles, "asked")
+    links = save(verified_links(pairs.where(F.col("nth") <= NEAREST), shingles, similarity), "links")
     roots = save(connected_components(links), "roots")
     # Of the other candidates those that are not of one class yet.
     rest = pairs.where(F.col("nth") > NEAREST)
@@ -313,7 +319,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, sim
         rest = rest.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     rest = save(rest.where("root_a <> root_b").select("a", "b"), "candidates")
     if not rest.isEmpty():
-        roots = save(connected_components(links.unionByName(verified_links(rest, texts, words, similarity))), "roots")
+        roots = save(connected_components(links.unionByName(verified_links(rest, shingles, similarity))), "roots")
     placed = nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "head", F.coalesce("root", "th").alias("root"))
     return placed.join(placed.groupBy("root").agg(F.min("head").alias("first")), "root").select("th", F.col("first").alias("head"))
 
