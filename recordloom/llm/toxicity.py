@@ -28,7 +28,7 @@ from recordloom.llm.common import let_go, names, parts, remainder
 
 #: Labelled rows of each label that fitting uses at most.
 SAMPLE = 2000
-#: Bytes of text that fitting uses at most, half of them of each label; texts are whole.
+#: Bytes of text that fitting uses at most, half of them of each label; texts are whole, and one over a sixteenth of it teaches nothing.
 SAMPLE_BYTES = 64_000_000
 #: Features, a power of two.
 BUCKETS = 1 << 18
@@ -121,8 +121,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows of two numbers at most
     rows = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t")).join(picked, F.col("_k") == F.col("_id"))
     # An id that several rows have teaches with one of its texts.
-    one = rows.groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
-    upto = F.sum(F.coalesce(F.octet_length("_t"), F.lit(0))).over(Window.partitionBy("_y").orderBy(F.xxhash64("_k"), "_k"))
+    size = F.coalesce(F.octet_length("_t"), F.lit(0))
+    one = rows.groupBy("_k", "_y").agg(F.min("_t").alias("_t")).where(size <= SAMPLE_BYTES // 16)
+    upto = F.sum(size).over(Window.partitionBy("_y").orderBy(F.xxhash64("_k"), "_k"))  # ``sample`` rows at most
     got = one.withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_BYTES // 2).select("_k", "_t", "_y").orderBy("_k", "_y").collect()
     return [(r["_t"], r["_y"]) for r in got], (counts.get(1, 0) / total, counts.get(0, 0) / total) if total else None
 
