@@ -32,7 +32,7 @@ from recordloom.storage import save
 
 WINDOW = 13
 #: Text of a shard, in bytes.
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 4_000_000
 #: Benchmark text that one pass holds, in bytes, about.
 BENCHMARK_BYTES = 8_000_000
 #: Test suffixes that are searched at once.
