@@ -27,9 +27,10 @@ import bisect
 import math
 import os
 import re
+import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +56,28 @@ WORDS_KEPT, WORD_BYTES_KEPT = 600_000, 24_000_000
 _SAFE = "0-9A-Za-zªµºÀ-ÖØ-öø-įı-ɏΆΈ-ΊΌΎ-ΡΣ-ϵϷ-ҁҊ-ԯ一-鿿ぁ-ゖァ-ヺ가-힣"
 #: A stop or comma that ends a word and stands behind anything else.
 _RUN = re.compile(rf"[^ \t\n{_SAFE}][.,][ \n]")
+#: Words of Latin letters, and signs at their end (no apostrophe): the letters are a token run, and so are the signs.
+_LETTERS = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: First bytes of marks that join with a letter before them; what begins a special token's name.
 _JOINS = (b"\xcc", b"\xcd", b"<|")
 
 
+class _Words(dict):
+    """Words' ids; a word that isn't there is taken from the older ones, or else learned."""
+
+    def __init__(self, learn: Callable[[bytes], bytes], older: dict[bytes, bytes]) -> None:
+        super().__init__()
+        self.learn, self.older, self.weight = learn, older, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        raw = self.older.get(word)
+        if raw is None:
+            raw = self.learn(word)
+        self[word] = raw
+        self.weight += len(word) + len(raw)
+        return raw
+
+
 class WordIds:
     """Ids of texts, as little-endian 32-bit words, found once for each word.
 
@@ -69,38 +88,27 @@ class WordIds:
     other scripts, joining marks, names of special tokens) are only cut at spaces and line feeds.
     """
 
-    #: Stands between words that are encoded in one call; a word that holds it is encoded alone.
-    BREAK = "\x01"
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        between = self._ids(self.BREAK)
-        self.between = between[0] if len(between) == 1 else None
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.weight = 0
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        cut = self.BREAK.encode()
-        alone = [w for w in words if self.between is None or cut in w or b"<|" in w]
-        for w in alone:
-            self.words[w] = np.array(self._ids(w.decode()), "<u4").tobytes()
-        rest = [w for w in words if w not in self.words] if alone else words
-        self.weight += sum(map(len, words)) + sum(len(self.words[w]) for w in alone)
-        for k in range(0, len(rest), 5000):
-            part = rest[k : k + 5000]
-            joined = (b" %b " % cut).join(part).decode()
-            found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            at, raw = 4 * np.flatnonzero(found == self.between), found.tobytes()
-            self.weight += len(raw)
-            for w, lo, hi in zip(part, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
-                self.words[w] = raw[lo:hi]
+        # How the byte-level step spells the letters that aren't ASCII.
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelled = str.maketrans({chr(c): "".join(p for p, _ in spell(chr(c))) for c in range(0xDF, 0x100)})
+        self.words = _Words(self._learn, {})
+
+    def _learn(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _LETTERS.fullmatch(text) if b"<|" not in word else None
+        if not plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        # The steps before the model leave such a word as it is, but for case and spelling.
+        letters, signs = plain[1], plain[2]
+        parts = self.tokenizer.model.tokenize(letters if letters.isascii() else letters.lower().translate(self.spelled))
+        if signs:
+            parts += self.tokenizer.model.tokenize(signs)
+        return struct.pack(f"<{len(parts)}I", *[p.id for p in parts])
 
     @staticmethod
     def cut(text: str) -> list[bytes]:
@@ -113,17 +121,11 @@ class WordIds:
         return text.encode().translate(LOWER).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > WORDS_KEPT // 2 or self.weight > WORD_BYTES_KEPT // 2:
-            self.older, self.words, self.weight = self.words, {}, 0
-        cut = list(map(self.cut, texts))
-        words, older, missing = self.words, self.older, []
-        for w in {w for line in cut for w in line if w not in words}:
-            if (known := older.get(w)) is not None:
-                words[w] = known
-            else:
-                missing.append(w)
-        self._learn(missing)
-        return [b"".join(map(words.__getitem__, line)) for line in cut]
+        if len(self.words) > WORDS_KEPT // 2 or self.words.weight > WORD_BYTES_KEPT // 2:
+            self.words.older = {}
+            self.words = _Words(self._learn, self.words)
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, self.cut(t))) for t in texts]
 
 
 def _encoder(path: str) -> WordIds:
@@ -139,7 +141,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        for part in (part for batch in batches for part in parts(batch, 1, 4_000_000)):
+        for part in (part for batch in batches for part in parts(batch, 1)):
             rows = []
             for row, raw in enumerate(_encoder(tokenizer_path)([t or "" for t in part.column(1).to_pylist()])):
                 raw += END_ID.to_bytes(4, "little")
