@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 REMEMBERED = 150_000
 #: Odd constants that an n-gram's code points are hashed with.
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_SUPPORT, _LEAST_RATIO, _STEPS, _DECAY = 4, 0.4, 150, 2e-4
+_SUPPORT, _LEAST_RATIO, _STEPS, _DECAY, _ROWS_AT_ONCE = 4, 0.4, 150, 2e-4, 400
 
 
 class Model(NamedTuple):
@@ -87,20 +87,29 @@ def fit(rows: list[tuple[str | None, int]], rates: tuple[float, float] | None =
     ratio = np.log((with_one + 1) / (ones + 2)) - np.log((seen - with_one + 1) / (zeros + 2))
     ratio[(seen < _SUPPORT) | (np.abs(ratio) < _LEAST_RATIO)] = 0
     bags = [(at[keep], n[keep]) for at, n in bags for keep in (ratio[at] != 0,)]
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(at) for at, _ in bags])
-    index, values = np.concatenate([at for at, _ in bags]), np.concatenate([n for _, n in bags])
+    there = np.zeros(BUCKETS, bool)
+    for at, _ in bags:
+        there[at] = True
+    names = np.flatnonzero(there)
+    place = np.zeros(BUCKETS, np.int32)
+    place[names] = np.arange(len(names))
+    blocks = []  # of some rows: the first, and of each of their features the row, the place and the scaled value
+    for lo in range(0, len(bags), _ROWS_AT_ONCE):
+        some = bags[lo : lo + _ROWS_AT_ONCE]
+        at, n = np.concatenate([a for a, _ in some]), np.concatenate([v for _, v in some])
+        blocks.append((lo, len(some), np.repeat(np.arange(len(some), dtype=np.int32), [len(a) for a, _ in some]), place[at], n * ratio[at].astype(np.float32)))
     del bags
-    names, index = np.unique(index, return_inverse=True)
-    index = index.astype(np.int32)
-    scaled = values * ratio[names][index].astype(np.float32)
     share = (ones / len(labels), zeros / len(labels)) if rates is None else rates
     weight = np.where(labels == 1, share[0] / ones, share[1] / zeros)
     w, bias = np.full(len(names), 0.02), math.log(share[0] / share[1])
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, _STEPS + 1):
-        logit = bias + np.bincount(row, scaled * w[index], len(rows))
-        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels) * weight
-        slope = np.concatenate([np.bincount(index, scaled * error[row], len(names)) + _DECAY * w, [error.sum()]])
+        slope = np.append(_DECAY * w, 0.0)
+        for lo, many, row, index, scaled in blocks:
+            logit = bias + np.bincount(row, scaled * w[index], many)
+            error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels[lo : lo + many]) * weight[lo : lo + many]
+            slope[:-1] += np.bincount(index, scaled * error[row], len(names))
+            slope[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
