@@ -64,6 +64,19 @@ def names(docs: DataFrame, *wanted: str) -> list[str]:
     return [f"{mark}{w}" for w in wanted]
 
 
+#: Text that goes to a worker, or back, in one Arrow batch, in bytes; Spark's own bound is 64 MB, and both sides hold some batches.
+BATCH_BYTES = 8_000_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends no larger Arrow batches than ``BATCH_BYTES`` from now on."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is not None and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 #: Text that a worker turns into Python objects at once, in bytes.
 PART_BYTES = 1_000_000
 
@@ -84,16 +97,33 @@ def parts(batch: pa.RecordBatch, at: int, most: int = PART_BYTES) -> Iterator[pa
 _KEPT: dict[str, object] = {}
 
 
+def trim() -> None:
+    """Gives freed memory back: Spark keeps a worker for its next task, which may be long in coming."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if back is not None:
+        back(0)
+
+
 def let_go(but: str | None = None) -> None:
-    """Frees what other operators' tasks left in this worker process, which Spark uses again."""
-    if _KEPT.keys() - {but}:
-        for name in _KEPT.keys() - {but}:
-            del _KEPT[name]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
+    """Frees what other operators' tasks left in this worker process."""
+    others = _KEPT.keys() - {but}
+    for name in others:
+        del _KEPT[name]
+    if others:
+        trim()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that holds nothing of other operators, and nothing when it has ended."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(batches)
+        trim()
+
+    return tidied
 
 
 def kept(name: str, make: Callable[[], object]) -> object:

@@ -16,7 +16,6 @@ indexes are made one after another.  An item is in one pass only.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 from typing import NamedTuple
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from recordloom.llm.common import WORD_BYTES, let_go, names, parts, text_bytes
+from recordloom.llm.common import WORD_BYTES, in_small_batches, names, parts, text_bytes, tidy
 from recordloom.storage import save
 
 WINDOW = 13
@@ -274,7 +273,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
 
     ``benchmark`` has the columns ``item_id`` and ``text``.
     """
-    df = docs.select(*dict.fromkeys([*keep, text_col]))
+    df = in_small_batches(docs).select(*dict.fromkeys([*keep, text_col]))
     passes = _passes(benchmark)
     for turn, part in enumerate(passes):
         index = test_index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], window)  # ``BENCHMARK_BYTES`` of text
@@ -288,7 +287,6 @@ def _one_pass(df: DataFrame, index: TestIndex, keep: list[str], text_col: str, f
     at, had, own = df.columns.index(text_col), df.columns.index(found_col) if again else None, [df.columns.index(k) for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         for batch in (part for batch in batches for part in parts(batch, at, SHARD_BYTES)):
             found = [f._asdict() for f in _scan(text_bytes(batch.column(at)), told.value)]
             if had is not None:
@@ -300,7 +298,7 @@ def _one_pass(df: DataFrame, index: TestIndex, keep: list[str], text_col: str, f
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in own), pa.array(found, _FOUND_ARROW)], [*keep, found_col])
 
     schema = StructType([*(df.schema[k] for k in keep), StructField(found_col, _FOUND)])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def contamination(

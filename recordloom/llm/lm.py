@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import LOWER, let_go, parts, remainder, text_bytes
+from recordloom.llm.common import LOWER, in_small_batches, parts, remainder, text_bytes, tidy
 from recordloom.storage import save
 
 ORDER = 4
@@ -97,7 +97,6 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(kind, key, n)``: counts of words (kind 0, by hash) and of symbols in context (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         words, pairs, held = Counter(), [], 0
 
         def told(final: bool) -> Iterator[pa.RecordBatch]:
@@ -124,7 +123,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield from told(False)
         yield from told(True)
 
-    found = docs.select(F.col(text_col)).mapInArrow(run, "kind int, key long, n long")
+    found = in_small_batches(docs).select(F.col(text_col)).mapInArrow(tidy(run), "kind int, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -323,7 +322,6 @@ def _score(docs: DataFrame, model: Told, id_col: str, text_col: str) -> DataFram
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         own = told.value
         known: dict[bytes, float] = {}
         number = TaskContext.get().partitionId() << 36
@@ -364,8 +362,8 @@ def _score(docs: DataFrame, model: Told, id_col: str, text_col: str) -> DataFram
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        run,
+    return in_small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(
+        tidy(run),
         f"id {kind}, row long, n_tokens long, n_known long, logs double, score double, rare array<long>, times array<long>, odd array<long>, odd_times array<long>",
     )
 

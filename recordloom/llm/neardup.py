@@ -30,13 +30,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import LOWER, let_go, names, parts, text_bytes
+from recordloom.llm.common import LOWER, in_small_batches, names, parts, text_bytes, tidy
 from recordloom.operators.components import connected_components
 from recordloom.storage import save
 
@@ -79,13 +78,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id_col, th, fp)``, th a hash of the text, fp a signed 64-bit integer; one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         for part in (part for batch in batches for part in parts(batch, 1)):
             fps = np.array([simhash(t, words) for t in text_bytes(part.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps.view(np.int64))], ["id", "th", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(run, f"id {kind}, th long, fp long")
+    found = in_small_batches(docs).select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(tidy(run), f"id {kind}, th long, fp long")
     return found.select(F.col("id").alias(id_col), "th", "fp")
 
 
@@ -174,12 +172,13 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, cell_rows: int = CELL_R
         "cell", "key", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        a, b = rows.loc[rows["own"] == i, "fp"].to_numpy(np.int64), rows.loc[rows["own"] == j, "fp"].to_numpy(np.int64)
-        return pd.DataFrame(_forest(a, b, distance), columns=["a", "b"], dtype="int64")
+    def block(rows: pa.Table) -> pa.Table:
+        own, fp = rows.column("own").to_numpy(), rows.column("fp").to_numpy()
+        a, b = (fp[own == rows.column(k)[0].as_py()] for k in ("i", "j"))
+        found = _forest(a, b, distance)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    blocks = dealt.groupBy("cell", "key", "i", "j").applyInPandas(block, "a long, b long")
+    blocks = dealt.groupBy("cell", "key", "i", "j").applyInArrow(block, "a long, b long")
     return pairs.unionByName(blocks)
 
 
@@ -220,7 +219,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, size: int
     """``(id, th, fp, n, sketch)`` of each row: its place, fingerprint, how many different shingles, the least hashes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         digest = xxhash.xxh64_intdigest
         for part in (part for batch in batches for part in parts(batch, 1)):
             fps, counts, least = [], [], []
@@ -238,7 +236,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, size: int
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["id", "th", "fp", "n", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(run, f"id {kind}, th long, fp long, n long, sketch array<long>")
+    return in_small_batches(docs).select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(tidy(run), f"id {kind}, th long, fp long, n long, sketch array<long>")
 
 
 def candidate_pairs(nodes: DataFrame, similarity: float, distance: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -279,14 +277,13 @@ def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: f
     """Of the pairs ``(a, b)``, those whose texts ``(th, text)`` have a Jaccard similarity of shingles that is high enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         for part in (part for batch in batches for part in parts(batch, 2)):
             one, two = (map(lambda t: set(_shingles(t, words)), text_bytes(part.column(k))) for k in (2, 3))
             ok = [len(p & q) >= similarity * len(p | q) for p, q in zip(one, two)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     met = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("p")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("q")), "b")
-    return met.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "p", "q").mapInArrow(tidy(run), "a long, b long")
 
 
 def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, distance: int = 3) -> DataFrame:

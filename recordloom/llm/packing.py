@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import LOWER, kept, parts
+from recordloom.llm.common import LOWER, in_small_batches, kept, parts
 from recordloom.storage import save
 
 CAPACITY = 2048
@@ -157,7 +157,7 @@ def token_pieces(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
+    out = in_small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(
         run, f"id {kind}, row long, piece int, start long, length long, ids_crc32 long"
     )
     return out.withColumnRenamed("id", "doc_id")

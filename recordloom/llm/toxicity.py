@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from recordloom.llm.common import let_go, names, parts, remainder
+from recordloom.llm.common import in_small_batches, names, parts, remainder, tidy
 
 #: Labelled rows of each label that fitting uses at most.
 SAMPLE = 2000
@@ -183,7 +183,6 @@ def scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         score = None
         for batch in batches:
             score = score or Scorer(told.value)
@@ -193,7 +192,7 @@ def scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
                 yield out if least is None else out.filter(pc.less(found, least))
 
     schema = StructType([*(docs.schema[k] for k in keep), StructField(score_col, DoubleType())])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return in_small_batches(docs).select(*columns).mapInArrow(tidy(run), schema)
 
 
 def toxicity(
