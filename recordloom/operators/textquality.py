@@ -114,15 +114,12 @@ def quoted(docs: DataFrame, doc_key: str, doc_text: Column, items: DataFrame, it
     long, short = quotes.where(F.length("_q") >= 2 * block), quotes.where(F.length("_q") < 2 * block)
     flat = docs.select(F.col(doc_key), doc_text.alias("_d"))
 
-    def hashes(at: Column, n: int | Column) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.substring("_d", i, n if isinstance(n, Column) else F.lit(n))))
-
     def checked(keys: DataFrame, pieces: DataFrame) -> DataFrame:
         pairs = keys.join(pieces, "_k").select(doc_key, item_key).distinct()
         met = pairs.join(flat, doc_key).join(quotes, item_key)
         return met.where(F.col("_d").contains(F.col("_q"))).select(doc_key, item_key).distinct()
 
-    blocks = flat.where(F.length("_d") >= block).select(doc_key, F.explode(F.array_distinct(hashes(F.sequence(F.lit(1), F.length("_d") - block + 1, F.lit(block)), block))).alias("_k"))
+    blocks = flat.where(F.length("_d") >= block).select(doc_key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_d", F.lit(f"(?s).{{{block}}}"), F.lit(0)), lambda x: F.xxhash64(x)))).alias("_k"))
     pieces = long.select(item_key, F.explode(F.transform(F.sequence(F.lit(1), F.lit(block)), lambda i: F.xxhash64(F.substring("_q", i, F.lit(block))))).alias("_k")).distinct()
     found = checked(blocks, pieces)
     n, least = short.agg(F.count(F.lit(1)), F.min(F.length("_q"))).first()
@@ -131,6 +128,8 @@ def quoted(docs: DataFrame, doc_key: str, doc_text: Column, items: DataFrame, it
     if n <= SHORT_ITEMS:
         rest = flat.join(F.broadcast(short), F.col("_d").contains(F.col("_q"))).select(doc_key, item_key)
     else:
-        grams = flat.where(F.length("_d") >= least).select(doc_key, F.explode(F.array_distinct(hashes(F.sequence(F.lit(1), F.length("_d") - least + 1), least))).alias("_k"))
+        chars = flat.where(F.length("_d") >= least).select(doc_key, F.split("_d", "").alias("_c"))
+        starts = F.sequence(F.lit(0), F.size("_c") - least)
+        grams = chars.select(doc_key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.concat(*[F.get("_c", i + k) for k in range(least)]))))).alias("_k"))
         rest = checked(grams, short.select(item_key, F.xxhash64(F.substring("_q", F.lit(1), F.lit(least))).alias("_k")))
     return found.union(rest).distinct()
