@@ -141,14 +141,38 @@ def word_errors(truth: Column, output: Column) -> Column:
     return F.round(F.levenshtein(spelled(truth), spelled(output)) / F.nullif(F.size(words(truth)), F.lit(0)), 6)
 
 
+def _fixed(v: Column, places: int) -> Column:
+    """A double in decimal with no or one place, as C prints it: its exact binary value rounded, halves to the even digit.
+
+    Java's formats round the shortest decimal that reads back as the number, halves up: 36.55, which is a little
+    less in binary, is 36.6 there.
+    """
+    size = F.abs(v)
+    whole = F.floor(size)
+    part = size - whole  # exact, as are eight and two times it
+    if places:
+        up = part * 8 + part * 2
+        lost = part * 2 - (up - part * 8)
+    else:
+        up, lost = part, F.lit(0.0)
+    digit = F.floor(up)
+    over = up - digit - 0.5
+    total = whole * 10**places + digit
+    total = total + F.when((over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & (total % 2 == 1)))), 1).otherwise(0)
+    digits = F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string")) if places else total.cast("string")
+    sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+    # Doubles from 2^52 on are whole.
+    return F.when(size < 2.0**52, F.concat(sign, digits)).otherwise(F.format_string(f"%.{places}f", v))
+
+
 def compact(n: Column) -> Column:
     """1,284 as 1.3K, 2,500,000 as 2.5M; below a thousand as it is."""
 
     def scaled(by: float, sign: str) -> Column:
         v = n / by
-        return F.concat(F.when((F.round(v, 1) >= 100) | (v == F.floor(v)), F.format_string("%.0f", v)).otherwise(F.format_string("%.1f", v)), F.lit(sign))
+        return F.concat(F.when((v * 10 >= 999.5) | (v == F.floor(v)), _fixed(v, 0)).otherwise(_fixed(v, 1)), F.lit(sign))
 
-    return F.when(F.abs(n) >= 1e6 * 0.9995, scaled(1e6, "M")).when(F.abs(n) >= 1e3 * 0.9995, scaled(1e3, "K")).otherwise(F.format_string("%.0f", n))
+    return F.when(F.abs(n) >= 1e6 * 0.9995, scaled(1e6, "M")).when(F.abs(n) >= 1e3 * 0.9995, scaled(1e3, "K")).otherwise(_fixed(n, 0))
 
 
 def axis_top(v: Column, ticks: int = 4) -> Column:

@@ -237,3 +237,9 @@ def test_quotations_of_any_length(spark, monkeypatch, few):
     quotes = spark.createDataFrame(items, "i long, q string")
     got = {(r["d"], r["i"]) for r in textquality.quoted(docs, "d", F.col("t"), quotes, "i", F.col("q")).collect()}
     assert got == {(d, i) for d, t in ((1, text), (2, text[:50])) for i, q in items if q in t}
+
+
+def test_short_numbers_round_their_exact_value(spark):
+    """36.55 is a little less in binary; 0.5 and 2.5 are exactly half-way."""
+    df = spark.createDataFrame([(v,) for v in (36550.0, -36550.0, 0.5, 1.5, 2.5, -0.4, -694450.0, 1250.0, 99950.0)], "v double")
+    assert [r[0] for r in df.select(evidence.compact(F.col("v"))).collect()] == ["36.5K", "-36.5K", "0", "2", "2", "-0", "-694.5K", "1.2K", "100K"]
