@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +58,14 @@ def last_polled(captures: DataFrame, source: str, at: str) -> DataFrame:
 
 
 def previous_at_least(events: DataFrame, key: list[str], at: str, minutes: int) -> DataFrame:
-    """Each event with the newest one of its key that is so much older: an as-of join as a range window."""
-    seconds = F.unix_seconds(F.col(at).cast("timestamp"))
+    """Each event with the newest one of its key that is so much older: an as-of join as a range window.
+
+    Times are compared in whole seconds, each rounded to the nearest, halves to the even one.  A null in the key equals nothing.
+    """
+    seconds = F.rint(F.unix_micros(F.col(at).cast("timestamp")) / 1e6).cast("long")
     w = Window.partitionBy(*key).orderBy("_s").rangeBetween(Window.unboundedPreceding, -60 * minutes)
-    return events.withColumn("_s", seconds).withColumn("previous", F.max(at).over(w)).drop("_s")
+    known = reduce(lambda p, q: p & q, [F.col(k).isNotNull() for k in key])
+    return events.withColumn("_s", seconds).withColumn("previous", F.when(known, F.max(at).over(w))).drop("_s")
 
 
 def replaced(captures: DataFrame, url: str, order: str, sha: str) -> DataFrame:

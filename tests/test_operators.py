@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import scalars as S
-from recordloom.operators import citations, components, counting, coverage, duties, entities, evidence, index, ledger, ranges, search, textquality
+from recordloom.operators import citations, components, counting, coverage, duties, entities, evidence, index, ledger, ranges, search, textquality, workflow
 from recordloom.sources import files, html
 
 
@@ -243,3 +243,11 @@ def test_short_numbers_round_their_exact_value(spark):
     """36.55 is a little less in binary; 0.5 and 2.5 are exactly half-way."""
     df = spark.createDataFrame([(v,) for v in (36550.0, -36550.0, 0.5, 1.5, 2.5, -0.4, -694450.0, 1250.0, 99950.0)], "v double")
     assert [r[0] for r in df.select(evidence.compact(F.col("v"))).collect()] == ["36.5K", "-36.5K", "0", "2", "2", "-0", "-694.5K", "1.2K", "100K"]
+
+
+def test_previous_in_rounded_seconds(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(1, "a", at(0.6)), (2, "a", at(900.7)), (3, "a", at(1800.2)), (4, "b", at(0.4)), (5, "b", at(900.3)), (6, "c", at(0.7)), (7, "c", at(900.4)), (8, None, at(0)), (9, None, at(5000))]
+    got = workflow.previous_at_least(spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz"), ["k"], "ts", 15)
+    # 0.7 and 900.4 are 1 and 900 in whole seconds; 900.7 and 1800.2 are 901 and 1800.
+    assert {r["id"]: r["previous"] for r in got.collect()} == {1: None, 2: at(0.6), 3: at(0.6), 4: None, 5: at(0.4), 6: None, 7: None, 8: None, 9: None}
