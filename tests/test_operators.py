@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import scalars as S
-from recordloom.operators import citations, components, counting, coverage, duties, entities, evidence, index, ledger, ranges, search, textquality, workflow
+from recordloom.operators import citations, components, counting, coverage, duties, entities, evidence, graph, index, ledger, ranges, search, textquality, workflow
 from recordloom.sources import files, html
 
 
@@ -251,3 +251,24 @@ def test_previous_in_rounded_seconds(spark):
     got = workflow.previous_at_least(spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz"), ["k"], "ts", 15)
     # 0.7 and 900.4 are 1 and 900 in whole seconds; 900.7 and 1800.2 are 901 and 1800.
     assert {r["id"]: r["previous"] for r in got.collect()} == {1: None, 2: at(0.6), 3: at(0.6), 4: None, 5: at(0.4), 6: None, 7: None, 8: None, 9: None}
+
+
+def test_successors_by_doubling(spark, monkeypatch):
+    """Chains, a fork, a cycle, a short cut and a loop, against breadth-first search; in few rounds."""
+    edges = [(k, k + 1) for k in range(60)] + [(60, 100), (60, 200), (100, 101), (101, 102), (102, 60), (200, 201), (201, 300), (200, 300), (300, 300), (400, 401), (401, 400), (20, 21)]
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    want = set()
+    for origin in (0, 30, 101, 400, 300, 999):
+        known, front, steps = {origin}, {origin}, 0
+        while front:
+            front, steps = {b for a in front for b in ahead.get(a, ())} - known, steps + 1
+            known |= front
+            want |= {(origin, p, steps) for p in front}
+    rounds = []
+    kept = graph.save
+    monkeypatch.setattr(graph, "save", lambda df, name: rounds.append(name) or kept(df, name))
+    got = graph.successors(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(o,) for o in (0, 30, 101, 400, 300, 999)], "party long"))
+    assert {tuple(r) for r in got.select("origin", "party", "steps").collect()} == want
+    assert rounds.count("front") < 40
