@@ -14,9 +14,11 @@ bound and then the exact Hamming distance hold.
 That finds fingerprints at a few bits.  Texts whose sets of word shingles have a Jaccard
 similarity of 0.8 differ in ten bits on average, which no grid parts from the rest; so a
 search by similarity (:func:`similar_classes`) takes the grid's links as candidates, and as
-further ones texts that share one of their least shingle hashes, at a wide Hamming bound.
-They are verified exactly, on the whole texts: each text's nearest first, then whatever
-would still join two classes.
+further ones texts that share a hash of their prefixes: in an order of all hashes, the first
+fifth of a text's, of which two such texts have one in common.  Hashes that many texts
+share come last in that order.  Candidates are verified exactly, on the whole texts: each
+text's nearest first, then whatever would still join two classes.  Large groups of texts
+are compared in blocks, by all of their shingles' 64-bit hashes.  No pair is left to chance.
 
 Fingerprints are made distinct before that, so groups of equal copies cost one row.
 Cells that hold more than ``CELL_ROWS`` fingerprints are dealt into blocks; each pair of
@@ -26,7 +28,9 @@ links.  No cell, link or partner is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,16 +41,20 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import LOWER, in_small_batches, names, parts, text_bytes, tidy
 from recordloom.operators.components import connected_components
-from recordloom.storage import save
+from recordloom.storage import drop, save
 
 #: Cells with more fingerprints than this are joined in blocks.
 CELL_ROWS = 128
 #: Rows of a block.
 BLOCK_ROWS = 1024
-#: Least shingle hashes of a text by which similar ones are found, and differing bits that those may have.
-SKETCH, WIDE = 12, 20
-#: Of texts that share such a hash, if they are many, those that each of them is compared with.
-CENTERS = 8
+#: Texts that share a hash, from which on it comes last in the order, and how many such hashes are told at most.
+CROWD, CROWDED = 32, 65_536
+#: Texts and hashes of a block of a large group.
+CROWD_ROWS, CROWD_HASHES = 512, 1_000_000
+#: 64-bit words of a text's marks.
+MARKS = 8
+#: By how much rounding may shift a bound; bounds are drawn wider by it.
+SLACK = 1e-6
 #: A text's nearest candidates, which are verified first.
 NEAREST = 4
 _SLABS_EQUAL = 3
@@ -215,62 +223,178 @@ def _shingles(text: bytes, words: int) -> list[bytes]:
     return [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[k:] for k in range(words)))))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, size: int = SKETCH) -> DataFrame:
-    """``(id, th, fp, n, sketch)`` of each row: its place, fingerprint, how many different shingles, the least hashes of them."""
+def _prefix_rows(n: int, similarity: float) -> int:
+    """So many of a set's ``n`` elements, the first in an order that all sets share: two similar sets have one of them in common."""
+    return n - math.ceil(similarity * n - SLACK) + 1
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``(id, th, prefix)`` of each row: its place and the least hashes of its shingles, as many as :func:`_prefix_rows` says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in parts(batch, 1)):
+            least = []
+            for text in text_bytes(part.column(1)):
+                known = _hashes(_shingles(text, words))[1]
+                least.append(known[: _prefix_rows(len(known), similarity)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(least, pa.list_(pa.int64()))], ["id", "th", "prefix"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return in_small_batches(docs).select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(tidy(run), f"id {kind}, th long, prefix array<long>")
+
+
+def crowded_hashes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, crowd: int = CROWD, most: int = CROWDED) -> np.ndarray:
+    """Hashes that stand in the prefixes of more than ``crowd`` different texts, sorted; if there are very many, the ``most`` frequent.
+
+    They only settle an order, in which these come last; similar texts meet in any order.
+    """
+    own = prefixes(docs, id_col, text_col, words, similarity).groupBy("th").agg(F.min("prefix").alias("prefix"))
+    met = own.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd)
+    return np.sort(np.array([r["h"] for r in met.orderBy(F.desc("m"), "h").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def _hashes(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingle hashes, and the different ones of them, sorted."""
+    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in joined], np.uint64)
+    known = np.sort(hashes)
+    return hashes, known[np.concatenate([[True], known[1:] != known[:-1]])]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """``(id, th, fp, n, marks, prefix)`` of each row: its place, fingerprint, how many different shingles, the parity of
+    the hashes at each of ``MARKS`` x 64 places, and the prefix of the hashes, those of ``last`` (sorted) after all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for part in (part for batch in batches for part in parts(batch, 1)):
-            fps, counts, least = [], [], []
+            fps, counts, marks, least = [], [], [], []
             for text in text_bytes(part.column(1)):
                 joined = _shingles(text, words)
-                hashes = np.array([digest(s, 42) for s in joined], np.uint64)
+                hashes, known = _hashes(joined)
                 votes = np.concatenate([np.bincount(hashes.view(np.uint8).reshape(-1, 8)[:, j], minlength=256) @ _BITS for j in range(8)])
                 bits = np.packbits(votes * 2 > len(joined), bitorder="little").view(np.uint64)[0]
                 fps.append(bits if joined != [b""] else 0)
-                known = np.sort(hashes)
-                known = known[np.concatenate([[True], known[1:] != known[:-1]])]
                 counts.append(len(known))
-                least.append(known[:size].view(np.int64))
-            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(counts, pa.int64()), pa.array(least, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["id", "th", "fp", "n", "sketch"])
+                odd = np.bincount((known % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+                marks.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, known), len(last) - 1)] == known
+                    known = np.concatenate([known[~late], known[late]])
+                least.append(known[: _prefix_rows(len(known), similarity)].view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (marks, least)]
+            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(counts, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["id", "th", "fp", "n", "marks", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_small_batches(docs).select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(tidy(run), f"id {kind}, th long, fp long, n long, sketch array<long>")
+    wanted = f"id {kind}, th long, fp long, n long, marks array<long>, prefix array<long>"
+    return in_small_batches(docs).select(F.col(id_col), F.col(text_col), _text_hash(text_col)).mapInArrow(tidy(run), wanted)
+
+
+def prefix_groups(nodes: DataFrame) -> DataFrame:
+    """``(th, n, at, h, m)``: the prefix hashes of the texts that more than one text has, their places and how many texts have them."""
+    cells = nodes.select("th", "n", F.posexplode("prefix").alias("at", "h"))
+    return save(cells.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("m > 1"), "inprefix")
 
 
-def candidate_pairs(nodes: DataFrame, similarity: float, distance: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``(a, b, bits)``, pairs of texts ``th`` of the table ``(th, fp, n, sketch)`` that may be similar, and by how many
+def candidate_pairs(nodes: DataFrame, groups: DataFrame, similarity: float, distance: int = 3, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, bits)``, pairs of texts ``th`` of the table ``(th, fp, n, marks)`` that may be similar, and by how many
     bits their fingerprints differ.
 
-    Of texts that share a least hash, all pairs within the bounds if they are few.  If they are
-    many, each is paired with ``CENTERS`` of them, other ones for each hash: texts that are similar to
-    one another then meet in them or in the hashes that fewer share, and texts that share a common
-    passage only cost a row for each center.  And what the grid on fingerprints links.
+    Of texts that share a prefix hash (:func:`prefix_groups`), all pairs if they are ``cell_rows`` or fewer, but for those
+    whose sizes, places of the hash or marks leave too little in common.  Of larger groups each text is paired with
+    one of them here, and the groups are returned as ``(h, th)``: :func:`crowd_links` finds what else they have.  And what the
+    grid on fingerprints links.
     """
-    cells = nodes.select(F.explode("sketch").alias("h"), "th", "fp", "n")
-    sizes = save(cells.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sketches")
-    shared = save(cells.join(sizes, "h"), "insketch")
 
     def bits(x: str, y: str) -> Column:
         return F.bit_count(F.col(x).bitwiseXOR(F.col(y))).alias("bits")
 
-    def near(x: str, y: str) -> Column:
-        return (bits(f"{x}.fp", f"{y}.fp") <= WIDE) & (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (F.col(f"{x}.th") != F.col(f"{y}.th"))
+    def alike_in_size(n: str, m: str) -> Column:
+        return F.least(n, m) >= similarity * F.greatest(n, m) - SLACK
 
-    few, many = shared.where(F.col("m") <= cell_rows), shared.where(F.col("m") > cell_rows)
+    few = groups.where(F.col("m") <= cell_rows)
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("y.th") < F.col("x.th")) & near("x", "y")).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"), bits("x.fp", "y.fp"))
-    text = F.struct("th", "fp", "n")
-    chosen = many.groupBy(F.col("h").alias("of")).agg(F.array(*[F.min_by(text, F.xxhash64("th", "h", F.lit(k))) for k in range(CENTERS)]).alias("centers"))
-    met = many.join(save(chosen, "centers"), F.col("h") == F.col("of")).select(text.alias("x"), F.explode(F.array_distinct("centers")).alias("y"))
-    through = met.where(near("x", "y")).select(F.col("x.th").alias("a"), F.col("y.th").alias("b"), bits("x.fp", "y.fp"))
+    # In the first hash that similar texts share, this and what comes after it is all that they can share.
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = left >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - SLACK
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("y.th") < F.col("x.th")) & alike_in_size("x.n", "y.n") & enough)
+    few_pairs = met.select(F.col("x.th").alias("a"), F.col("y.th").alias("b")).distinct()
+    many = groups.where(F.col("m") > cell_rows)
+    centers = many.groupBy(F.col("h").alias("of")).agg(F.min_by("th", F.xxhash64("th")).alias("center"))
+    through = many.join(centers, F.col("h") == F.col("of")).where("th <> center").select(F.greatest("th", "center").alias("a"), F.least("th", "center").alias("b")).distinct()
+    one, two = (nodes.select(F.col("th").alias(t), F.struct("fp", "n", "marks").alias(f"of_{t}")) for t in ("a", "b"))
+    both = few_pairs.union(through).join(one, "a").join(two, "b")
+    # Each place where the marks differ is a shingle at least that only one of them has.
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col("of_a.marks")[k].bitwiseXOR(F.col("of_b.marks")[k])) for k in range(MARKS)])
+    n, m = F.col("of_a.n"), F.col("of_b.n")
+    near = both.where(alike_in_size("of_a.n", "of_b.n") & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + SLACK))
+    pairs = near.select("a", "b", bits("of_a.fp", "of_b.fp"))
     first = save(nodes.groupBy("fp").agg(F.min("th").alias("least")), "fingerprints")
     links = fingerprint_links(first.select("fp"), distance)
     named = links.withColumn("bits", bits("a", "b")).join(first.select(F.col("fp").alias("a"), F.col("least").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("q")), "b")
     alike = nodes.join(first, "fp").where("th <> least").select(F.col("th").alias("a"), F.col("least").alias("b"), F.lit(0).alias("bits"))
-    every = pairs.unionByName(through).unionByName(alike).unionByName(named.select(F.col("p").alias("a"), F.col("q").alias("b"), "bits"))
-    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "bits").distinct()
+    every = pairs.unionByName(alike).unionByName(named.select(F.col("p").alias("a"), F.col("q").alias("b"), "bits"))
+    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "bits").distinct(), many.select("h", "th")
+
+
+def _similar_forest(th: list[int], root: list[int], sets: list[np.ndarray], own: np.ndarray, other: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between the texts at the places ``own`` and ``other`` that connect, with what ``root`` connects already, all that are similar."""
+    label = np.unique(np.array(root), return_inverse=True)[1]
+    n = np.array([len(s) for s in sets])
+    known, token = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    # Where the other texts stand, by token.
+    held = np.concatenate([np.arange(ends[k] - n[k], ends[k]) for k in other])
+    by_token = np.argsort(token[held], kind="stable")
+    who = np.repeat(np.arange(len(other)), n[other])[by_token]
+    starts = np.searchsorted(token[held][by_token], np.arange(len(known) + 1))
+    found = []
+    for k in own:
+        asked = (label[other] != label[k]) & (np.minimum(n[other], n[k]) >= similarity * np.maximum(n[other], n[k]) - SLACK)
+        if not asked.any():
+            continue
+        mine = token[ends[k] - n[k] : ends[k]]
+        lists = [who[starts[t] : starts[t + 1]] for t in mine]
+        common = np.bincount(np.concatenate(lists), minlength=len(other))
+        for j in np.nonzero(asked & (common >= similarity * (n[other] + n[k] - common)))[0]:
+            if label[other[j]] != label[k]:
+                found.append((th[k], th[other[j]]))
+                label[label == label[other[j]]] = label[k]
+    return found
+
+
+def crowd_links(members: DataFrame, texts: DataFrame, words: int, similarity: float, block_rows: int = CROWD_ROWS, block_hashes: int = CROWD_HASHES) -> DataFrame:
+    """``(a, b)``: links of the texts of each crowd that connect, with what their roots connect already, exactly what
+    all similar pairs of it connect.  ``members`` is ``(th, root, crowd)``, ``texts`` has the texts ``(th, text)``.
+
+    A crowd is dealt into blocks; each pair of blocks is one bounded task, which compares the texts that are
+    not connected yet by all of their shingle hashes and returns no more links than it has texts.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in parts(batch, 1)):
+            sets = [_hashes(_shingles(t, words))[1].view(np.int64) for t in text_bytes(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["th", "hashes"])
+
+    asked = members.select("th").distinct()
+    sets = save(texts.join(asked, "th", "left_semi").select("th", "text").mapInArrow(tidy(whole), "th long, hashes array<long>"), "crowd")
+    held = members.join(sets, "th")
+    sizes = held.groupBy("crowd").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("hashes")).alias("n"))
+    blocks = F.greatest(F.ceil(F.col("k") / block_rows), F.ceil(F.col("n") / block_hashes)).cast("int")
+    dealt = held.join(sizes.select("crowd", blocks.alias("blocks")), "crowd").withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("crowd", "th", "root", "hashes", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("crowd", "th", "root", "hashes", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def block(rows: pa.Table) -> pa.Table:
+        own, found = rows.column("own").to_numpy(), []
+        x, y = (np.nonzero(own == rows.column(k)[0].as_py())[0] for k in ("i", "j"))
+        if len(x) and len(y):
+            lists = rows.column("hashes").combine_chunks()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [values[a:b] for a, b in zip(ends, ends[1:])]
+            found = _similar_forest(rows.column("th").to_pylist(), rows.column("root").to_pylist(), sets, x, y, similarity)
+        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+    return dealt.groupBy("crowd", "i", "j").applyInArrow(block, "a long, b long")
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -288,13 +412,16 @@ def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: f
 
 def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, distance: int = 3) -> DataFrame:
     """``(th, head)`` of each different text: the place of the document that stands for its class, over links of texts
-    whose sets of ``words``-word shingles (lower-cased, as :func:`simhash` cuts them) are similar."""
-    own = save(sketches(docs, id_col, text_col, words), "sketch")
+    whose sets of ``words``-word shingles (lower-cased, as :func:`simhash` cuts them) are similar.  All such links count."""
+    last = crowded_hashes(docs, id_col, text_col, words, similarity)
+    own = save(sketches(docs, id_col, text_col, words, similarity, last), "sketch")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    nodes = save(own.groupBy("th").agg(F.min(place).alias("head"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "texts")
-    pairs = candidate_pairs(nodes.select("th", "fp", "n", "sketch"), similarity, distance)
+    nodes = own.groupBy("th").agg(F.min(place).alias("head"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("marks").alias("marks"), F.min("prefix").alias("prefix"))
+    nodes = save(nodes, "texts")
+    drop(own)
+    pairs, many = candidate_pairs(nodes.select("th", "fp", "n", "marks"), prefix_groups(nodes), similarity, distance)
     pairs = save(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))), "candidates")
-    asked = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct().join(nodes.select("th", "head.id"), "th")
+    asked = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(many.select("th")).distinct().join(nodes.select("th", "head.id"), "th")
     own_id, own_th, th = names(docs, "id", "th", "h")
     hashed = docs.select(F.col(id_col).alias(own_id), _text_hash(text_col).alias(th), F.col(text_col).alias("text"))
     # One document stands for a text's copies, so its place is one row.
@@ -310,7 +437,17 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, sim
         rest = rest.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     rest = save(rest.where("root_a <> root_b").select("a", "b"), "candidates")
     if not rest.isEmpty():
-        roots = save(connected_components(links.unionByName(verified_links(rest, texts, words, similarity))), "roots")
+        links = save(links.unionByName(verified_links(rest, texts, words, similarity)), "links")
+        roots = save(connected_components(links), "roots")
+    # Of the large groups those that are not of one class yet, joined where they have texts in common.
+    placed = many.join(roots, F.col("th") == F.col("node"), "left").select("h", "th", F.coalesce("root", "th").alias("root"))
+    placed = save(placed, "placed")
+    parted = placed.groupBy(F.col("h").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("th").alias("hub")).where("lo <> hi")
+    members = save(placed.join(parted, F.col("h") == F.col("of")).select("th", "root", "hub"), "parted")
+    if not members.isEmpty():
+        crowds = save(connected_components(members, "th", "hub").select(F.col("node").alias("th"), F.col("root").alias("crowd")), "crowds")
+        found = crowd_links(members.select("th", "root").distinct().join(crowds, "th"), texts, words, similarity)
+        roots = save(connected_components(links.unionByName(found)), "roots")
     placed = nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "head", F.coalesce("root", "th").alias("root"))
     return placed.join(placed.groupBy("root").agg(F.min("head").alias("first")), "root").select("th", F.col("first").alias("head"))
 

@@ -242,6 +242,45 @@ def test_similar_texts_by_brute_force(spark, monkeypatch, crowded):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
 
 
+def test_similar_texts_of_a_crowd_all_meet(spark, monkeypatch):
+    """Pairs of texts that are alike, all with a passage in common, which makes up most of their shingles."""
+    monkeypatch.setattr(neardup, "CROWD_ROWS", 64)
+    passage, rows = [f"common{k}" for k in range(100)], []
+    for pair in range(160):
+        own = [f"w{pair}x{k}" for k in range(16)]
+        rows += [" ".join(passage + own), " ".join(passage + own[:7] + [f"other{pair}"] + own[8:])]
+    sets = [set(neardup._shingles(t.encode(), 5)) for t in rows]
+    assert all((len(p & q) >= 0.8 * len(p | q)) == (a // 2 == b // 2) for a, p in enumerate(sets) for b, q in enumerate(sets))
+    got = neardup.keep_one_per_class(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), words=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, len(rows), 2))
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    """Near copies of one text, some of which no path of similar texts joins to the others; no hash of theirs is rare."""
+    monkeypatch.setattr(neardup, "candidate_pairs", functools.partial(neardup.candidate_pairs, cell_rows=8))
+    monkeypatch.setattr(neardup, "CROWD", 10_000)
+    monkeypatch.setattr(neardup, "CROWD_ROWS", 16)
+    monkeypatch.setattr(neardup, "fingerprint_links", lambda fps, distance: fps.select(neardup.F.col("fp").alias("a"), neardup.F.col("fp").alias("b")).limit(0))
+    draw = np.random.default_rng(3)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for k in range(150):
+        words = list(base)
+        for at in draw.choice(120, draw.integers(0, 5), replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append(" ".join(words))
+    rows = sorted(set(rows))
+    sets = [set(neardup._shingles(t.encode(), 5)) for t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if x == hi else x for x in label]
+    assert 1 < len(set(label)) < len(rows)
+    got = neardup.keep_one_per_class(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), words=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
+
+
 # ------------------------------------------------ language model
 
 def test_scores_by_simulation(spark):
