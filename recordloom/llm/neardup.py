@@ -250,7 +250,10 @@ def crowded_hashes(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     """
     own = prefixes(docs, id_col, text_col, words, similarity).groupBy("th").agg(F.min("prefix").alias("prefix"))
     met = own.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd)
-    return np.sort(np.array([r["h"] for r in met.orderBy(F.desc("m"), "h").limit(most).collect()], np.int64).view(np.uint64))
+    met = save(met, "crowded", clear=True)
+    told = np.sort(np.array([r["h"] for r in met.orderBy(F.desc("m"), "h").limit(most).collect()], np.int64).view(np.uint64))
+    drop(met)
+    return told
 
 
 def _hashes(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +295,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
 def prefix_groups(nodes: DataFrame) -> DataFrame:
     """``(th, n, at, h, m)``: the prefix hashes of the texts that more than one text has, their places and how many texts have them."""
     cells = nodes.select("th", "n", F.posexplode("prefix").alias("at", "h"))
-    return save(cells.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("m > 1"), "inprefix")
+    return save(cells.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("m > 1"), "inprefix", clear=True)
 
 
 def candidate_pairs(nodes: DataFrame, groups: DataFrame, similarity: float, distance: int = 3, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -376,7 +379,7 @@ def crowd_links(members: DataFrame, texts: DataFrame, words: int, similarity: fl
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["th", "hashes"])
 
     asked = members.select("th").distinct()
-    sets = save(texts.join(asked, "th", "left_semi").select("th", "text").mapInArrow(tidy(whole), "th long, hashes array<long>"), "crowd")
+    sets = save(texts.join(asked, "th", "left_semi").select("th", "text").mapInArrow(tidy(whole), "th long, hashes array<long>"), "crowd", clear=True)
     held = members.join(sets, "th")
     sizes = held.groupBy("crowd").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("hashes")).alias("n"))
     blocks = F.greatest(F.ceil(F.col("k") / block_rows), F.ceil(F.col("n") / block_hashes)).cast("int")
@@ -414,34 +417,39 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, sim
     """``(th, head)`` of each different text: the place of the document that stands for its class, over links of texts
     whose sets of ``words``-word shingles (lower-cased, as :func:`simhash` cuts them) are similar.  All such links count."""
     last = crowded_hashes(docs, id_col, text_col, words, similarity)
-    own = save(sketches(docs, id_col, text_col, words, similarity, last), "sketch")
+    own = sketches(docs, id_col, text_col, words, similarity, last)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     nodes = own.groupBy("th").agg(F.min(place).alias("head"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("marks").alias("marks"), F.min("prefix").alias("prefix"))
-    nodes = save(nodes, "texts")
-    drop(own)
-    pairs, many = candidate_pairs(nodes.select("th", "fp", "n", "marks"), prefix_groups(nodes), similarity, distance)
-    pairs = save(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))), "candidates")
+    prefixed = save(nodes, "texts", clear=True)
+    groups = prefix_groups(prefixed)
+    # The prefixes, most of the table, are not read again.
+    nodes = save(prefixed.drop("prefix"), "texts")
+    drop(prefixed)
+    pairs, many = candidate_pairs(nodes.select("th", "fp", "n", "marks"), groups, similarity, distance)
+    pairs = save(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))), "candidates", clear=True)
     asked = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(many.select("th")).distinct().join(nodes.select("th", "head.id"), "th")
     own_id, own_th, th = names(docs, "id", "th", "h")
     hashed = docs.select(F.col(id_col).alias(own_id), _text_hash(text_col).alias(th), F.col(text_col).alias("text"))
     # One document stands for a text's copies, so its place is one row.
     at = asked.select(F.col("id").alias("asked_id"), F.col("th").alias("asked_th"))
     texts = hashed.join(at, F.col(own_id).eqNullSafe(F.col("asked_id")) & (F.col(th) == F.col("asked_th")), "left_semi")
-    texts = save(texts.select(F.col(th).alias("th"), "text").dropDuplicates(["th"]), "asked")
-    links = save(verified_links(pairs.where(F.col("nth") <= NEAREST), texts, words, similarity), "links")
+    texts = save(texts.select(F.col(th).alias("th"), "text").dropDuplicates(["th"]), "asked", clear=True)
+    links = save(verified_links(pairs.where(F.col("nth") <= NEAREST), texts, words, similarity), "links", clear=True)
     roots = save(connected_components(links), "roots")
     # Of the other candidates those that are not of one class yet.
     rest = pairs.where(F.col("nth") > NEAREST)
     for end in ("a", "b"):
         known = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         rest = rest.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    rest = save(rest.where("root_a <> root_b").select("a", "b"), "candidates")
+    rest = save(rest.where("root_a <> root_b").select("a", "b"), "rest", clear=True)
+    drop(pairs)
     if not rest.isEmpty():
-        links = save(links.unionByName(verified_links(rest, texts, words, similarity)), "links")
+        links = save(links.unionByName(verified_links(rest, texts, words, similarity)), "links", clear=True)
         roots = save(connected_components(links), "roots")
     # Of the large groups those that are not of one class yet, joined where they have texts in common.
     placed = many.join(roots, F.col("th") == F.col("node"), "left").select("h", "th", F.coalesce("root", "th").alias("root"))
-    placed = save(placed, "placed")
+    placed = save(placed, "placed", clear=True)
+    drop(groups)
     parted = placed.groupBy(F.col("h").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("th").alias("hub")).where("lo <> hi")
     members = save(placed.join(parted, F.col("h") == F.col("of")).select("th", "root", "hub"), "parted")
     if not members.isEmpty():
@@ -449,7 +457,10 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, words: int, sim
         found = crowd_links(members.select("th", "root").distinct().join(crowds, "th"), texts, words, similarity)
         roots = save(connected_components(links.unionByName(found)), "roots")
     placed = nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "head", F.coalesce("root", "th").alias("root"))
-    return placed.join(placed.groupBy("root").agg(F.min("head").alias("first")), "root").select("th", F.col("first").alias("head"))
+    classes = save(placed.join(placed.groupBy("root").agg(F.min("head").alias("first")), "root").select("th", F.col("first").alias("head")), "heads", clear=True)
+    for old in (nodes, texts):
+        drop(old)
+    return classes
 
 
 def keep_one_per_class(
@@ -463,9 +474,10 @@ def keep_one_per_class(
     a text of its own stays whatever other rows share its id.  Of rows that share both one
     stays.  Null ids come after all others.  An empty table gives no rows; other columns stay.
     """
-    own_id, own_th, th = names(docs, "id", "th", "h")
+    own_id, th, told, row = names(docs, "id", "th", "told", "row")
     classes = similar_classes(docs, id_col, text_col, words, similarity, distance) if similarity else _classes(docs, id_col, text_col, words, distance)[1]
-    heads = classes.select("head").distinct().select(F.col("head.id").alias(own_id), F.col("head.th").alias(own_th))
-    hashed = docs.withColumn(th, _text_hash(text_col))
-    kept = hashed.join(heads, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th)), "left_semi")
-    return kept.dropDuplicates([id_col, th]).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias(own_id), _text_hash(text_col).alias(th), F.lit(False).alias(told), F.struct(*docs.columns).alias(row))
+    heads = classes.select("head").distinct().select(F.col("head.id").alias(own_id), F.col("head.th").alias(th), F.lit(True).alias(told), F.lit(None).cast(rows.schema[row].dataType).alias(row))
+    # One exchange of the documents, which meet their heads and their equals in it.
+    met = rows.unionByName(heads).groupBy(own_id, th).agg(F.max(told).alias(told), F.first(row, ignorenulls=True).alias(row))
+    return met.where(F.col(told) & F.col(row).isNotNull()).select(f"{row}.*")

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_CLEAR = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,15 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, clear: bool = False) -> DataFrame:
     """Write ``df`` once and return a reader of the written rows.
 
     Later uses read the files, so neither a second use nor a lost executor runs the
-    steps before it again.
+    steps before it again.  With ``clear`` the write's shuffle files are removed as soon as it
+    has ended; otherwise they stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAR, None)
+    if clear:
+        spark.conf.set(_CLEAR, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clear and before is None:
+            spark.conf.unset(_CLEAR)
+        elif clear:
+            spark.conf.set(_CLEAR, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

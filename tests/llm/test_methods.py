@@ -4,8 +4,10 @@ import collections
 import functools
 import hashlib
 import math
+import pathlib
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -15,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, SMALL
+from recordloom import storage
 from recordloom.llm import common, decontam, licenses, linededup, lm, neardup, packing, pii, quality, toxicity, urls
 from recordloom.llm.queries import tokenizer_path
 
@@ -281,6 +284,48 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
 
 
+def test_similar_texts_hold_little_disk(spark):
+    """Of the written tables only the classes are left (texts, prefixes and candidates are not), no shuffle of
+    theirs is, and the documents go through one exchange to their classes."""
+    folder = pathlib.Path(storage.shared_dir(spark).removeprefix("file://"), "recordloom")
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def tables():
+        return set(folder.iterdir()) if folder.exists() else set()
+
+    def shuffled():
+        return {f for f in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    rng = random.Random(4)
+    rows = [" ".join(f"w{rng.randrange(900)}" for _ in range(400)) for _ in range(300)]
+    rows += [t + " more" for t in rows[:100]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    before, old = tables(), shuffled()
+    got = neardup.keep_one_per_class(docs, words=5, similarity=0.8)
+    left = {p.name.rsplit("-", 1)[0] for p in tables() - before}
+    assert "heads" in left
+    assert not left & {"sketch", "texts", "inprefix", "crowded", "candidates", "asked"}
+    for _ in range(50):  # they are removed in the background
+        kept = sum(pathlib.Path(f).stat().st_size for f in shuffled() - old if pathlib.Path(f).exists())
+        if kept < 300_000:
+            break
+        time.sleep(0.2)
+    assert kept < 300_000  # the texts alone are 800 kB
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(300))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Aggregate") <= 2
+
+
+def test_rows_of_a_class_head_stay_whole(spark):
+    """Null ids, repeated rows and other columns, nested ones too: one row of each head, with what it had."""
+    schema = "doc_id long, text string, n int, tags map<string,int>"
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text, 1, {"a": 1}), (2, text, 2, None), (2, text, 2, None), (3, None, None, None), (None, "x y", 5, {"b": 2}), (4, "", 9, {})]
+    got = neardup.keep_one_per_class(spark.createDataFrame(rows, schema), words=5, similarity=0.8)
+    assert got.columns == ["doc_id", "text", "n", "tags"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr)
+
+
 # ------------------------------------------------ language model
 
 def test_scores_by_simulation(spark):
